@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm import hilbert_shards, secret_scan, token_matrix, vector_packing
+from rillwork.llm import fingerprints, hilbert_shards, secret_scan, token_matrix, vector_packing, warc
 from rillwork.llm.common import table
 from rillwork.llm.tokens import default_vocabulary
 
@@ -46,11 +46,33 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.hilbert_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_token_matrix": op1_token_matrix,
     "op2_vector_packing": op2_vector_packing,
     "op3_secret_scan": op3_secret_scan,
     "op5_hilbert_shards": op5_hilbert_shards,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_warc": op8_warc,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages
+        ), f AS (
+            SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d
+        )
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id > first THEN first END AS refers_to
+        FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
+    """,
+}
