@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm import fingerprints, hilbert_shards, secret_scan, token_matrix, vector_packing, warc
+from rillwork.llm import fingerprints, hilbert_shards, language_id, secret_scan, token_matrix, vector_packing, warc
 from rillwork.llm.common import table
 from rillwork.llm.tokens import default_vocabulary
 
@@ -46,6 +46,14 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.hilbert_shards(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs)
+    return language_id.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -59,6 +67,7 @@ QUERIES = {
     "op2_vector_packing": op2_vector_packing,
     "op3_secret_scan": op3_secret_scan,
     "op5_hilbert_shards": op5_hilbert_shards,
+    "op6_language_id": op6_language_id,
     "op7_fingerprints": op7_fingerprints,
     "op8_warc": op8_warc,
 }
