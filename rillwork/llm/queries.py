@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm import fingerprints, hilbert_shards, language_id, secret_scan, token_matrix, vector_packing, warc
+from rillwork.llm import (
+    decontaminate,
+    fingerprints,
+    hilbert_shards,
+    language_id,
+    secret_scan,
+    token_matrix,
+    vector_packing,
+    warc,
+)
 from rillwork.llm.common import table
 from rillwork.llm.tokens import default_vocabulary
 
@@ -62,6 +71,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_token_matrix": op1_token_matrix,
     "op2_vector_packing": op2_vector_packing,
@@ -70,6 +83,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_fingerprints": op7_fingerprints,
     "op8_warc": op8_warc,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE: dict[str, str] = {

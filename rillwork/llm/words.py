@@ -21,6 +21,9 @@ _LOWER = _BYTE.copy()
 _LOWER[0x41:0x5B] = _BYTE[0x61:0x7B]
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[list(_SEPARATORS)] = False
+_LOOSE = _LOWER.copy()
+_LOOSE[[b for b in range(128) if not chr(b).isalnum()]] = 0
+_IS_LOOSE = _LOOSE != 0
 _BASE = 0x9E3779B97F4A7C13
 
 
@@ -73,8 +76,21 @@ def string_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def split_words(texts: pa.Array, lower: bool = False) -> Words:
     """Words between white space; ``lower``: A to Z count as a to z in the hashes."""
     data, offsets = string_bytes(texts)
+    return _split(data, offsets, _IS_WORD, _LOWER if lower else _BYTE)
+
+
+def split_loose(texts: pa.Array) -> Words:
+    """Runs of letters and digits, ASCII and Latin-1 capitals as small letters."""
+    data, offsets = string_bytes(texts)
+    capital = np.zeros(len(data), dtype=bool)
+    # U+00C0 to U+00DE but for U+00D7 are the bytes C3 80 to C3 9E
+    capital[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    return _split(np.where(capital, data + np.uint8(0x20), data), offsets, _IS_LOOSE, _LOOSE)
+
+
+def _split(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, values: np.ndarray) -> Words:
     inside = np.zeros(len(data) + 2, dtype=bool)
-    inside[1:-1] = _IS_WORD[data]
+    inside[1:-1] = is_word[data]
     cut = np.zeros(len(data) + 1, dtype=bool)
     cut[offsets] = True
     own, before, after = inside[1:-1], inside[:-2], inside[2:]
@@ -86,9 +102,9 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
     lengths = np.diff(np.append(starts, len(data)))
     place = np.arange(starts[0], len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), lengths)
     place[~own[starts[0] :]] = 0
-    values = (_LOWER if lower else _BYTE)[data[starts[0] :]]
-    values *= _powers(int((ends - starts).max()))[place]
-    sums = np.add.reduceat(values, starts - starts[0])
+    terms = values[data[starts[0] :]]
+    terms *= _powers(int((ends - starts).max()))[place]
+    sums = np.add.reduceat(terms, starts - starts[0])
     return Words(data, starts, ends, first, mix(sums ^ (ends - starts).astype(np.uint64)))
 
 
