@@ -9,6 +9,7 @@ from rillwork.llm import (
     decontaminate,
     fingerprints,
     hilbert_shards,
+    jaccard_join,
     language_id,
     secret_scan,
     token_matrix,
@@ -51,6 +52,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.hilbert_shards(table(spark, sf_dir, "documents"))
 
@@ -79,6 +84,7 @@ QUERIES = {
     "op1_token_matrix": op1_token_matrix,
     "op2_vector_packing": op2_vector_packing,
     "op3_secret_scan": op3_secret_scan,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_language_id": op6_language_id,
     "op7_fingerprints": op7_fingerprints,
