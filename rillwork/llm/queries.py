@@ -12,6 +12,7 @@ from rillwork.llm import (
     jaccard_join,
     language_id,
     secret_scan,
+    substring_dedup,
     token_matrix,
     vector_packing,
     warc,
@@ -80,6 +81,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_matrix": op1_token_matrix,
     "op2_vector_packing": op2_vector_packing,
@@ -90,6 +95,7 @@ QUERIES = {
     "op7_fingerprints": op7_fingerprints,
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE: dict[str, str] = {
@@ -104,4 +110,28 @@ ORACLE: dict[str, str] = {
                CASE WHEN page_id > first THEN first END AS refers_to
         FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
     """,
+    "op10_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), words AS (
+            SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d
+        ), grown AS (
+            SELECT doc_id, p, count(*) OVER f AS n, string_agg(word, ' ') OVER f AS run
+            FROM words
+            WINDOW f AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
+        ), repeated AS (
+            SELECT run FROM grown WHERE n = 35 GROUP BY run HAVING count(*) > 1
+        ), covered AS (
+            SELECT DISTINCT doc_id, p + j AS p
+            FROM (SELECT doc_id, p FROM grown SEMI JOIN repeated USING (run) WHERE n = 35), range(35) AS t(j)
+        ), kept AS (
+            SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS kept, count(*) AS n
+            FROM words ANTI JOIN covered ON words.doc_id = covered.doc_id AND words.p = covered.p
+            GROUP BY words.doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+    """,
 }
