@@ -1,0 +1,88 @@
+"""The corpus pipeline: five operators of rillwork.llm in turn, from documents to packed sequences.
+
+Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept.
+All but the last return the columns of documents as they came.
+
+Cases: rows with a null doc_id stay wherever no decision names them; rows that
+repeat a doc_id are one document for the join and leave one row; documents
+without words have no duplicates and no leaks; an empty table passes through;
+further columns are kept, whatever their names.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rillwork.llm import decontaminate, jaccard_join, language_id, secret_scan, vector_packing
+from rillwork.llm.common import settle, table, text_or_empty
+from rillwork.llm.tokens import default_vocabulary
+
+#: Probability below which a language counts as not identified.
+LEAST_SCORE = 0.5
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but for those whose doc_id is in ``ids`` (doc_id); only the ids move if they are within the bound."""
+    return docs.join(jaccard_join.few(settle(ids.distinct(), "dropped")), "doc_id", "left_anti").select(*docs.columns)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of no language, or of one that the model is not sure of, go."""
+    model = language_id.train(docs)
+    found = language_id.identify(docs, model, into=("_lang_pred", "_lang_score"))
+    sure = (F.col("_lang_pred") != language_id.UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE)
+    return found.filter(sure).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document with the smallest id stays."""
+    parts = jaccard_join.jaccard_components(docs)
+    left = without(docs, parts.filter("doc_id <> component_id").select("doc_id"))
+    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    if repeated.isEmpty():
+        return left
+    again = settle(repeated, "repeated")
+    one = left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return without(left, again).unionByName(one)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, leaks.select("doc_id"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of secrets are replaced by a mark; n_chars follows the text."""
+    found = secret_scan.scan(docs, into="_spans")
+    some = F.size("_spans") > 0
+    clean = found.select(
+        *docs.columns, F.when(some, secret_scan.redacted(text_or_empty(), F.col("_spans"))).alias("_clean")
+    )
+    changed = {"text": F.coalesce("_clean", "text"), "n_chars": F.coalesce(F.length("_clean").cast("long"), "n_chars")}
+    return clean.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their sequence and place."""
+    return vector_packing.pack_vectors(docs, default_vocabulary())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("jaccard_join", drop_near_duplicates),
+    ("decontamination", decontaminate_benchmark),
+    ("secret_scan", redact_secrets),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: The classifier, the tokenizer and the packing cannot be written in SQL; tests hold run() against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -178,10 +178,12 @@ def train(df: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     )
 
 
-def identify(df: DataFrame, model: Model | None) -> DataFrame:
-    """``df`` (doc_id, text and more) with lang_pred and score."""
+def identify(
+    df: DataFrame, model: Model | None, into: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``df`` (text and more) with the language and the score in the columns ``into``."""
     small_batches(df.sparkSession)
-    schema = [f for f in df.schema.fields if f.name not in ("lang_pred", "score")]
+    schema = [f for f in df.schema.fields if f.name not in into]
     names = [f.name for f in schema]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +197,9 @@ def identify(df: DataFrame, model: Model | None) -> DataFrame:
                 name = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)]
                 score = np.where(letters, odds.max(axis=1), 0.0)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(name, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"]
+                [*batch.columns, pa.array(name, pa.string()), pa.array(score, pa.float64())], [*names, *into]
             )
 
     out = df.select(*names).schema
-    out = out.add("lang_pred", "string").add("score", "double")
+    out = out.add(into[0], "string").add(into[1], "double")
     return df.select(*names).mapInArrow(predict, out)

@@ -143,8 +143,8 @@ def entropy_spans(text: Column, kind: str, alphabet: str, least: float, window:
     return spans_of(text, pattern, kind, keep)
 
 
-def scan(df: DataFrame, window: int = ENTROPY_WINDOW) -> DataFrame:
-    """``df`` with ``secret_spans``: array of (kind, start, end) by start, then kind as in KINDS."""
+def scan(df: DataFrame, window: int = ENTROPY_WINDOW, into: str = "secret_spans") -> DataFrame:
+    """``df`` (text and more) with the column ``into``: array of (kind, start, end) by start, then kind as in KINDS."""
     text = text_or_empty()
     parts = [
         spans_of(text, ASSIGN, "assign", lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 1)) >= ASSIGN_VALUE),
@@ -158,7 +158,7 @@ def scan(df: DataFrame, window: int = ENTROPY_WINDOW) -> DataFrame:
             lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")),
         )
     )
-    return df.withColumn("secret_spans", in_order)
+    return df.withColumn(into, in_order)
 
 
 def spans_text(spans: Column, base_only: bool = False) -> Column:
