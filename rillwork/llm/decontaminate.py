@@ -11,9 +11,10 @@ the item's question and with its answer (its last sentence).
 
 Words are runs of letters and digits; A to Z and the accented capitals of
 Latin-1 count as small letters, so case and punctuation do not hide a copy.
-Passages overlap by the longest item, so each copy lies whole in one of them.
-A passage is not walked if it holds none of the terms that every match must
-have one of; that bound is exact (see ``Index``).
+A text is cut into blocks as long as the longest item, and each two blocks in a
+row are a passage, so each copy lies whole in one of them. A passage is walked
+only if its words can reach the threshold for some item; that bound is exact
+(see ``Index``).
 
 Test items are stated queries: they are taken in blocks of ITEM_BLOCK, each
 against all documents. Only such a block is on the driver or broadcast.
@@ -27,6 +28,7 @@ give an empty table; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.llm.common import small_batches
-from rillwork.llm.words import Words, split_loose, windows
+from rillwork.llm.words import Words, gather, split_loose, windows
 
 K1, B = 1.2, 0.75
 #: Part of an item's BM25 weight that a passage must cover.
@@ -66,8 +68,9 @@ def grams(words: Words, i: int) -> np.ndarray:
 class Index:
     """Posting lists of the items' terms: items in order, impacts, and the greatest impact of each block.
 
-    ``essential``: for each item its heaviest terms, until the others cover less
-    than the threshold. A passage with none of them cannot reach any item.
+    ``key_items`` and ``key_impacts``: postings of each item's heaviest terms, taken
+    until the others cover half the threshold at most. A passage that reaches the
+    threshold for an item has ``need`` of it from these terms alone.
     """
 
     def __init__(self, items: list[tuple[int, str]], threshold: float):
@@ -94,20 +97,27 @@ class Index:
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / mean))
         impact = weight / np.bincount(item, weight, minlength=len(items))[item]
         cuts = np.searchsorted(term, np.arange(len(self.terms) + 1))
-        self.postings = [(item[a:b], impact[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.most = np.array([p[1].max() for p in self.postings]) if len(self.terms) else np.zeros(0)
-        self.blocks = [np.maximum.reduceat(p[1], np.arange(0, len(p[1]), POSTING_BLOCK)) for p in self.postings]
-        self.ends = [p[0][np.minimum(np.arange(0, len(p[0]), POSTING_BLOCK) + POSTING_BLOCK, len(p[0])) - 1] for p in self.postings]
+        spans = list(zip(cuts.tolist(), cuts[1:].tolist(), strict=False))
+        blocks = [list(range(a, b, POSTING_BLOCK)) for a, b in spans]
+        #: of each term: items, impacts, greatest impact of each block, last item of each block, greatest of all
+        self.lists = [
+            (
+                item[a:b].tolist(),
+                impact[a:b].tolist(),
+                [float(impact[k : min(k + POSTING_BLOCK, b)].max()) for k in starts],
+                [int(item[min(k + POSTING_BLOCK, b) - 1]) for k in starts],
+                float(impact[a:b].max()),
+            )
+            for (a, b), starts in zip(spans, blocks, strict=True)
+        ]
         order = np.lexsort((-impact, item))
-        before = np.zeros(len(order))
-        run = np.cumsum(impact[order])
-        first = np.searchsorted(item[order], np.arange(len(items)))
-        if len(order):
-            base = np.concatenate([[0], run])[first]
-            before = run - impact[order] - base[item[order]]
-        # a term is needed while what lies at and behind it can still reach the threshold
-        self.essential = np.zeros(len(self.terms), dtype=bool)
-        self.essential[term[order][1 - before >= threshold - 1e-9]] = True
+        run = np.concatenate([[0.0], np.cumsum(impact[order])])
+        before = run[:-1] - run[np.searchsorted(item[order], item[order])] if len(order) else run[:-1]
+        key = np.zeros(len(term), dtype=bool)
+        key[order[1 - before > threshold / 2]] = True
+        self.key_items, self.key_impacts = item[key], impact[key]
+        self.key_offsets = np.searchsorted(term[key], np.arange(len(self.terms) + 1))
+        self.need = threshold - 1 + np.bincount(self.key_items, self.key_impacts, minlength=len(items)) - 1e-9
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Term numbers, -1 for words of no item."""
@@ -119,7 +129,7 @@ class Index:
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """All items that the distinct ``terms`` cover to the threshold: block-max WAND."""
         goal = self.threshold - 1e-9
-        lists = [(self.postings[t][0], self.postings[t][1], self.blocks[t], self.ends[t], float(self.most[t])) for t in terms]
+        lists = [self.lists[t] for t in terms]
         place = [0] * len(lists)
         live = sorted(range(len(lists)), key=lambda k: lists[k][0][0])
         found = []
@@ -132,64 +142,73 @@ class Index:
                     break
             if pivot < 0:
                 break
-            item = int(lists[live[pivot]][0][place[live[pivot]]])
-            while pivot + 1 < len(live) and int(lists[live[pivot + 1]][0][place[live[pivot + 1]]]) == item:
+            item = lists[live[pivot]][0][place[live[pivot]]]
+            while pivot + 1 < len(live) and lists[live[pivot + 1]][0][place[live[pivot + 1]]] == item:
                 pivot += 1
             lead = live[: pivot + 1]
             # the blocks that hold the pivot, found without moving
-            at = [int(np.searchsorted(lists[k][3], item)) for k in lead]
-            held = sum(float(lists[k][2][b]) for k, b in zip(lead, at, strict=True) if b < len(lists[k][2]))
+            at = [bisect_left(lists[k][3], item) for k in lead]
+            held = sum(lists[k][2][b] for k, b in zip(lead, at, strict=True) if b < len(lists[k][2]))
             if held >= goal:
                 score = 0.0
                 for k in lead:
-                    place[k] = int(np.searchsorted(lists[k][0], item))
+                    place[k] = bisect_left(lists[k][0], item, place[k])
                     if place[k] < len(lists[k][0]) and lists[k][0][place[k]] == item:
-                        score += float(lists[k][1][place[k]])
+                        score += lists[k][1][place[k]]
                         place[k] += 1
                 if score >= goal:
                     found.append((item, score))
             else:
                 # nothing before the nearest block end can reach the goal
-                ends = [int(lists[k][3][b]) for k, b in zip(lead, at, strict=True) if b < len(lists[k][3])]
+                ends = [lists[k][3][b] for k, b in zip(lead, at, strict=True) if b < len(lists[k][3])]
                 beyond = min(ends) + 1 if ends else item + 1
                 if pivot + 1 < len(live):
-                    beyond = min(beyond, int(lists[live[pivot + 1]][0][place[live[pivot + 1]]]))
+                    beyond = min(beyond, lists[live[pivot + 1]][0][place[live[pivot + 1]]])
                 beyond = max(beyond, item + 1)
                 for k in lead:
-                    place[k] = int(np.searchsorted(lists[k][0], beyond))
+                    place[k] = bisect_left(lists[k][0], beyond, place[k])
             live = sorted((k for k in live if place[k] < len(lists[k][0])), key=lambda k: lists[k][0][place[k]])
         return found
 
 
-def passages(first: np.ndarray, length: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each passage: its text, first word and end; together they cover every text."""
-    n = np.diff(first)
-    count = np.where(n > 0, 1 + np.maximum(-(-(n - length) // stride), 0), 0)
-    text = np.repeat(np.arange(len(n)), count)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    start = first[:-1][text] + nth * stride
-    return text, start, np.minimum(start + length, first[1:][text])
+def passages_to_walk(index: Index, words: Words, term: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, first word, end) of each passage whose key terms reach the need of some item."""
+    span = index.longest
+    n = np.diff(words.first)
+    base = np.concatenate([[0], np.cumsum(-(-n // span))])
+    hits = np.flatnonzero((term >= 0) & (np.diff(index.key_offsets)[term] > 0))
+    text = np.searchsorted(words.first, hits, "right") - 1
+    block = base[text] + (hits - words.first[text]) // span
+    many = np.diff(index.key_offsets)[term[hits]]
+    at = gather(index.key_offsets[:-1][term[hits]], many)
+    keys, back = np.unique(np.repeat(block, many) * len(index.ids) + index.key_items[at], return_inverse=True)
+    mass = np.bincount(back, index.key_impacts[at], minlength=len(keys))
+    # what a block and the one behind it hold of an item
+    behind = np.searchsorted(keys, keys + len(index.ids))
+    behind = np.where(behind < len(keys), behind, 0)
+    both = mass + np.where(keys[behind] == keys + len(index.ids), mass[behind], 0.0)
+    need = index.need[keys % len(index.ids)]
+    alone = keys[mass >= need] // len(index.ids)
+    blocks = np.unique(np.concatenate([keys[both >= need] // len(index.ids), alone, alone - 1]))
+    out = []
+    for b in blocks[blocks >= 0].tolist():
+        i = int(np.searchsorted(base, b, "right")) - 1
+        start = int(words.first[i]) + (b - int(base[i])) * span
+        out.append((i, start, min(start + 2 * span, int(words.first[i + 1]))))
+    return out
 
 
 def matches_of(index: Index, texts: pa.Array) -> list[tuple[int, int, float, float, float]]:
     """(text, item, score, question overlap, answer overlap) of all verified pairs."""
+    if not len(index.terms):
+        return []
     words = split_loose(texts)
     term = index.lookup(words.hashes)
-    needed = np.concatenate([[0], np.cumsum(index.essential[term] & (term >= 0))]) if len(index.terms) else None
-    if needed is None:
-        return []
-    mass = np.concatenate([[0.0], np.cumsum(np.where(term >= 0, index.most[term], 0.0))])
-    text, start, end = passages(words.first, 2 * index.longest, index.longest)
-    walk = (needed[end] > needed[start]) & (mass[end] - mass[start] >= index.threshold - 1e-6)
     best: dict[tuple[int, int], float] = {}
-    for p in np.flatnonzero(walk).tolist():
-        own = np.unique(term[start[p] : end[p]])
-        own = own[own >= 0]
-        if index.most[own].sum() < index.threshold - 1e-9:
-            continue
-        for item, score in index.search(own.tolist()):
-            pair = int(text[p]), item
-            best[pair] = max(best.get(pair, 0.0), score)
+    for i, start, end in passages_to_walk(index, words, term):
+        own = np.unique(term[start:end])
+        for item, score in index.search(own[own >= 0].tolist()):
+            best[i, item] = max(best.get((i, item), 0.0), score)
     out, seen = [], {}
     for (i, item), score in sorted(best.items()):
         own = words.hashes[words.first[i] : words.first[i + 1]]
