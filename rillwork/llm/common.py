@@ -44,9 +44,12 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     It cuts the lineage at a place that survives lost executors, and makes
     every later reader see the same rows in the same files.
     """
-    path = fresh_path(df.sparkSession, tag)
+    spark = df.sparkSession
+    path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # Spark drops the shuffle files of a finished query once the JVM notices that nothing refers to it.
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:

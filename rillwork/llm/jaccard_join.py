@@ -64,8 +64,11 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if len(few):
         whole = [mix(np.bitwise_xor.reduce(mix(words.hashes[words.first[i] : words.first[i + 1]] + np.arange(n[i]).astype(np.uint64))).reshape(1) + np.uint64(n[i]))[0] for i in few]
         hashes, text_of = np.concatenate([hashes, np.array(whole, np.uint64)]), np.concatenate([text_of, few])
-    order = np.lexsort((hashes, text_of))
-    hashes, text_of = hashes[order], text_of[order]
+        order = np.argsort(text_of, kind="stable")
+        hashes, text_of = hashes[order], text_of[order]
+    cuts = np.searchsorted(text_of, np.arange(len(n) + 1)).tolist()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        hashes[a:b].sort()
     if len(hashes):
         first = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (text_of[1:] != text_of[:-1])])
         hashes, text_of = hashes[first], text_of[first]
@@ -106,7 +109,8 @@ def common_counters(df: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            hashes, _ = shingle_sets(batch.column("text"))
+            words = split_words(batch.column("text"), lower=True)
+            hashes, _, _ = windows(words.hashes, words.first, N)
             total += np.bincount((hashes >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
         rows = total.astype("<u4").reshape(COUNTER_PARTS, part)
         packed = [zlib.compress(r.tobytes(), 1) for r in rows]
@@ -129,23 +133,18 @@ def common_counters(df: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def order_classes(counts: np.ndarray) -> np.ndarray:
-    """Of each counter, 0 if its shingles are not common, else more the more common they are."""
-    usual = 4 * counts.mean() + 16
-    return np.where(counts > usual, 1 + np.log2(np.maximum(counts, 1) / usual), 0).astype(np.int8)
-
-
 def describe(df: DataFrame) -> DataFrame:
     """Of each row its set's size and digest; for the first row of a set in a task also prefix and bitmap."""
     spark = df.sparkSession
-    classes = spark.sparkContext.broadcast(order_classes(common_counters(df)))  # COUNTERS bytes
+    # COUNTERS numbers; shingles in the order of their counters: rare ones first, common ones last
+    usual = spark.sparkContext.broadcast(np.minimum(common_counters(df), 2**32 - 1).astype(np.uint32))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             hashes, begin = shingle_sets(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
-            kind = classes.value[(hashes >> np.uint64(44)).astype(np.int64)]
+            often = usual.value[(hashes >> np.uint64(44)).astype(np.int64)]
             second = mix(hashes ^ np.uint64(0x2545F4914F6CDD1D))
             out: dict[str, list] = {c.split()[0]: [] for c in SETS.split(", ")}
             for i, doc_id in enumerate(ids):
@@ -156,7 +155,7 @@ def describe(df: DataFrame) -> DataFrame:
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(digest)
-                    rank = np.argsort(kind[begin[i] : begin[i + 1]], kind="stable")
+                    rank = np.argsort(often[begin[i] : begin[i + 1]], kind="stable")
                     prefix = own[rank[: prefix_length(len(own))]].view(np.int64)
                     bits = bitmap(own)
                 for name, value in zip(out, (doc_id, len(own), *digest, prefix, bits), strict=True):
@@ -307,10 +306,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links1 = settle(verified(df, pairs, info), "links")
     joined = settle(components(links1), "components")
 
-    under = meets.join(as_rep, "doc_id").select("token", "node").distinct()
-    under = under.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = under.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    under = settle(under.join(mixed.select("token"), "token", "left_semi"), "mixed")
+    # the smallest under each shingle has met all others there
+    under = meets.join(as_rep, "doc_id").join(member.toDF("lo", "hub"), "lo").filter("hub <> node")
+    under = under.select("token", "node").distinct()
+    known = joined.select("node", "component")
+    parts = under.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = parts.groupBy("token").agg(
+        F.count("*").alias("rows"), F.min("component").alias("x"), F.max("component").alias("y")
+    )
+    parts = settle(parts.join(sizes.filter("x < y").select("token", "rows"), "token"), "mixed")
+    # shingles under which the same few documents meet are one group
+    few_nodes = parts.filter(F.col("rows") <= TILE).groupBy("token").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+    groups = few_nodes.select("nodes").distinct().select(F.xxhash64("nodes").alias("token"), F.explode("nodes").alias("node"))
+    groups = groups.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    many_nodes = parts.filter(F.col("rows") > TILE)
+    under = many_nodes.select("token", "node", "component").unionByName(groups.select("token", "node", "component"))
     laid = lay_tiles(under.join(info.withColumnRenamed("doc_id", "node"), "node"))
     links2 = settle(verified(df, tile_pairs(laid), info), "links")
     # rows of one id are one node: its sets hang together
