@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from rillwork.errors import MediaError
 from rillwork.schemas import PACKET, STREAM
+from rillwork.ship import ship
 
 #: Samples of one packet of uncompressed audio.
 PCM_SAMPLES = 1024
@@ -230,6 +231,7 @@ def _scan(spark: SparkSession, path: str, read, schema) -> DataFrame:
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ship(spark)
     kinds = to_arrow_schema(schema)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, schema)
 
