@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillwork.ship import ship
+
 #: Rows of one Arrow batch handed to Python. Texts may be long, so it is low.
 BATCH_ROWS = 256
 
@@ -53,7 +55,8 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, whatever the length of the texts."""
+    """Before Python runs on executors: give them this package, and bound what one Arrow batch holds."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
