@@ -208,7 +208,7 @@ def verified(df: DataFrame, pairs: DataFrame, info: DataFrame) -> DataFrame:
     near = pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "b1", "b2").mapInArrow(bounded, "a long, b long")
     near = settle(near, "near")
     ids = settle(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "near-ids")
-    sets = settle(sorted_sets(df, ids), "sets").dropDuplicates(["doc_id"])
+    sets = settle(sorted_sets(df, ids).distinct(), "sets")
     one, two = sets.toDF("a", "ha"), sets.toDF("b", "hb")
     return near.join(one, "a").join(two, "b").select("a", "b", "ha", "hb").mapInArrow(intersected, "a long, b long")
 
@@ -293,8 +293,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     own = settle(describe(df), "shingle-sets")
     slim = own.select("doc_id", "n", "d1", "d2").filter("n > 0 and doc_id is not null")
     first = slim.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = settle(slim.join(first, ["n", "d1", "d2"]).select("doc_id", "rep").distinct(), "members")
-    info = own.filter("prefix is not null").select("doc_id", "n", "bitmap").dropDuplicates(["doc_id"])
+    digest = ["n", "d1", "d2"]
+    member = settle(slim.join(first, digest).select("doc_id", "rep", *digest).distinct(), "members")
+    reps = member.filter("doc_id = rep").select("rep", *digest)
+    member = member.select("doc_id", "rep").distinct()
+    # size and bitmap of each set, under the id that stands for it
+    info = own.filter("prefix is not null").select(*digest, "bitmap").dropDuplicates(digest).join(reps, digest)
+    info = settle(info.select(F.col("rep").alias("doc_id"), "n", "bitmap"), "signatures")
 
     tokens = own.filter("prefix is not null").select("doc_id", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
