@@ -1,0 +1,57 @@
+import importlib
+
+import corpus_pipeline
+from pyspark.sql import functions as F
+
+from rillwork.llm import decontaminate, jaccard_join, queries, vector_packing
+from rillwork.llm.tokens import default_vocabulary
+
+
+def test_stages(spark, small, edges, empty):
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "jaccard_join", "decontamination", "secret_scan", "best_fit_packing"]
+    for df in (edges, empty):
+        own = df
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            own = stage(spark, own, small)
+            assert own.schema.simpleString() == df.schema.simpleString()
+            own = spark.createDataFrame(own.collect(), df.schema)
+        last = corpus_pipeline.STAGES[-1][1](spark, own, small)
+        assert (last.count() == 0) == (df is empty)
+
+
+def test_language_stage(spark, small, docs):
+    kept = corpus_pipeline.identify_language(spark, docs, small)
+    assert kept.count() == docs.count()
+    none = spark.createDataFrame([(10**6, "123 456 ...", None, "s", 11), (10**6 + 1, None, "en", "s", 0)], docs.schema)
+    kept = corpus_pipeline.identify_language(spark, docs.union(none), small)
+    assert kept.filter(F.col("doc_id") >= 10**6).count() == 0 and kept.count() == docs.count()
+
+
+def test_run(spark, small, docs):
+    """Which documents are left, and what is packed, by hand from the operators' own results."""
+    rows = corpus_pipeline.run(spark, small).collect()
+    parts = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    first = docs.filter(F.col("doc_id").isin([i for i, c in parts.items() if i == c]))
+    bench = spark.read.parquet(f"{small}/benchmark.parquet")
+    leaks = {r.doc_id for r in decontaminate.find_leaks(first, bench).collect()}
+    left = {i for i, c in parts.items() if i == c} - leaks
+    assert {r.doc_id for r in rows} == left and leaks
+    clean = corpus_pipeline.redact_secrets(spark, docs, small)
+    assert clean.filter(F.length("text") != F.col("n_chars")).count() == docs.filter(F.length("text") != F.col("n_chars")).count()
+    again = vector_packing.pack_vectors(clean.filter(F.col("doc_id").isin(list(left))), default_vocabulary()).collect()
+    key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
+    assert sorted(map(key, rows)) == sorted(map(key, again))
+    assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_repeated_rows_leave_one(spark, small, edges):
+    kept = corpus_pipeline.drop_near_duplicates(spark, edges, small)
+    ids = [r.doc_id for r in kept.collect()]
+    assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
+    assert None in ids and 9 in ids and 10 not in ids and 7 not in ids
+
+
+def test_one_query_for_each_operator():
+    for n in range(1, 11):
+        assert len([q for q in queries.QUERIES if q.startswith(f"op{n}_")]) == 1
+    assert "pipeline" in importlib.import_module("__spark_entry__").queries()
