@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from rillwork.llm.common import fresh_path, settle, small_batches, text_or_empty
 
 MIN_REVISIT = 100
+#: Revisits up to which their table is broadcast instead of moving the pages: about 150 bytes each.
+BROADCAST_REVISITS = 200_000
 CHUNK = 1 << 20
 FILES = "archive string, records long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -52,6 +54,9 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
         .filter(F.col("page_id") > F.col("refers_to"))
         .distinct()
     )
+    revisits = settle(revisits, "revisits")
+    if revisits.count() <= BROADCAST_REVISITS:
+        revisits = F.broadcast(revisits)
     own = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
     return own.join(revisits, ["page_id", "digest"], "left")
 
