@@ -101,6 +101,38 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(
+                regexp_split_to_array(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[\x20\x09-\x0D]+'
+                ), lambda x: x <> '') AS w
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
+            FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i)
+            WHERE len(w) > 0
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+            FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+        ), e AS (
+            SELECT a, b FROM shared JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b
+            WHERE 100 * k >= 80 * (x.n + y.n - k)
+        ), u AS (
+            SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+        ), r(doc_id, c) AS (
+            SELECT doc_id, doc_id FROM d
+            UNION
+            SELECT u.b, r.c FROM r JOIN u ON u.a = r.doc_id WHERE r.c < u.b
+        ), least_label AS (
+            SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id
+        FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN least_label ON d.doc_id = least_label.doc_id
+    """,
     "op8_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages
