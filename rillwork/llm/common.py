@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.ship import ship
 
 #: Rows of one Arrow batch handed to Python. Texts may be long, so it is low.
-BATCH_ROWS = 256
+BATCH_ROWS = 128
 
 #: A word, as the contracts define it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,6 +65,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Return to the system what a Python worker has freed; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

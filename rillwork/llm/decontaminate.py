@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import small_batches
+from rillwork.llm.common import give_back, small_batches
 from rillwork.llm.words import Words, gather, split_loose, windows
 
 K1, B = 1.2, 0.75
@@ -250,6 +250,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         index = spark.sparkContext.broadcast(Index(items, threshold))  # a block of items
 
         def find(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            give_back()
             for batch in batches:
                 rows = matches_of(index.value, batch.column("text"))
                 at = pa.array([r[0] for r in rows], pa.int64())

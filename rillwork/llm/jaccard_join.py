@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import settle, shuffle_partitions, small_batches
+from rillwork.llm.common import give_back, settle, shuffle_partitions, small_batches
 from rillwork.llm.components import components
 from rillwork.llm.words import mix, split_words, windows
 
@@ -107,6 +107,7 @@ def common_counters(df: DataFrame) -> np.ndarray:
     part = COUNTERS // COUNTER_PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             words = split_words(batch.column("text"), lower=True)
@@ -141,6 +142,7 @@ def describe(df: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        give_back()
         for batch in batches:
             hashes, begin = shingle_sets(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
@@ -152,7 +154,7 @@ def describe(df: DataFrame) -> DataFrame:
                 digest = int(own.sum(dtype=np.uint64)), int(second[begin[i] : begin[i + 1]].sum(dtype=np.uint64))
                 prefix = bits = None
                 if len(own) and doc_id is not None and digest not in seen:
-                    if len(seen) > 500_000:
+                    if len(seen) > 50_000:
                         seen.clear()
                     seen.add(digest)
                     rank = np.argsort(often[begin[i] : begin[i + 1]], kind="stable")

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import small_batches
+from rillwork.llm.common import give_back, small_batches
 
 BITS = 13
 #: Labelled rows of one language that the model is fitted on, about; the bound of the sample.
@@ -187,6 +187,7 @@ def identify(
     names = [f.name for f in schema]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             texts = batch.column(names.index("text")).to_pylist()
             if model is None:

@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import settle, small_batches
+from rillwork.llm.common import give_back, settle, small_batches
 from rillwork.llm.token_matrix import cut
 from rillwork.llm.tokens import tokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, lo long, hi long, each long, first_sequence long, at long"
 #: Pieces that one bucket ranks, about.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 5_000
 #: Plan rows up to which the plan is broadcast (48 bytes a row); the histogram bounds them, this makes sure.
 PLAN_ROWS = 200_000
 
@@ -44,6 +44,7 @@ def token_pieces(df: DataFrame, vocabulary: str, seq_len: int = 2048, end_id: in
     small_batches(df.sparkSession)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         own = tokenizer(vocabulary)
         for batch in batches:
             ids, begin = own.ids(batch.column("text"), end_id)
