@@ -4,6 +4,8 @@ Base kinds are found by their patterns. The method adds spans: candidate
 strings of one character class are slid over with a window whose Shannon
 entropy is kept up by counts, one character in and one out; a candidate with a
 window above the class's threshold is a span unless the allow-list knows it.
+A slash is in the class, so a candidate may be a path, a key, or a key behind a
+path: parts at its ends that read as words are left out of the judgement.
 
 Positions come from splitting: the pieces between matches and the matches
 themselves, laid end to end, give every start. They count code points; ends are
@@ -35,12 +37,16 @@ CLASSES = (
 )
 KINDS = ("assign", "access", "hex", *(name for name, _, _ in CLASSES))
 
+#: A part of a path that is no key: words, in one case or as humps, with numbers at their ends, joined by dashes.
+WORD = r"[0-9]*+(?:[A-Z]++(?![a-z])|[A-Z]?+[a-z]*+(?:[A-Z][a-z]{2,}+)*+)[0-9]*+"
+PART = rf"{WORD}(?:[_+-]++{WORD})*+"
+
 #: Candidates that are no secrets: dashed identifiers, paths, dates and counters, sample keys.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[A-Za-z_-]*$",
     r"^[0-9_/+-]*$",
-    r"/.*/",
+    rf"^(?=[^/]*/[^/]*/)(?:{PART}/)*+{PART}$",
     r"(?i)example|sample|dummy|xxxx|0123456|abcdef0|123456789",
 )
 
@@ -129,18 +135,29 @@ def most_entropy(candidate: Column, alphabet: str, window: int) -> Column:
     return F.aggregate(pairs, zero, step, lambda acc: acc["best"])
 
 
+def core_of(candidate: Column) -> Column:
+    """What is judged of a candidate with two slashes or more: from its first part that is no word to its last."""
+    parts = F.split(candidate, "/", -1)
+    odd = F.filter(
+        F.transform(parts, lambda p, i: F.when(~p.rlike(f"^{PART}$"), i)), lambda i: i.isNotNull()
+    )
+    core = F.array_join(F.slice(parts, F.array_min(odd) + 1, F.array_max(odd) - F.array_min(odd) + 1), "/")
+    return F.when(candidate.rlike("/[^/]*/"), F.coalesce(core, F.lit(""))).otherwise(candidate)
+
+
 def entropy_spans(text: Column, kind: str, alphabet: str, least: float, window: int) -> Column:
     escaped = alphabet.replace("-", r"\-")
     # Whole runs of the class with a digit in them: anything else is prose or a number.
     pattern = rf"(?<![{escaped}])(?=[{escaped}]*?[0-9])[{escaped}]{{{window},}}"
 
-    def keep(m: Column) -> Column:
+    def secret(core: Column) -> Column:
         known = F.lit(False)
         for allowed in ALLOWED:
-            known = known | m["match"].rlike(allowed)
-        return ~known & (most_entropy(m["match"], alphabet, window) >= least)
+            known = known | core.rlike(allowed)
+        return ~known & (most_entropy(core, alphabet, window) >= least)
 
-    return spans_of(text, pattern, kind, keep)
+    # the span is the whole candidate, as a key's first or last part may look like a word
+    return spans_of(text, pattern, kind, lambda m: F.exists(F.array(core_of(m["match"])), secret))
 
 
 def scan(df: DataFrame, window: int = ENTROPY_WINDOW, into: str = "secret_spans") -> DataFrame:

@@ -80,6 +80,27 @@ def test_redaction(spark):
         assert r.clean.replace("[REDACTED]", "") == kept
 
 
+def test_keys_with_slashes(spark):
+    """Keys that hold slashes or stand behind a path are found; paths are not."""
+    keys = [
+        "wJa1rXUtnFEM/K7MDENG9bPxRf/CYzQ4mVb8TuKs",
+        "/services/T01ABC2DE/B03FGH4JK/q7Xz2LmN8vRt4KpW9sYb3HcD",
+        "com/samples/v2/q7Xz2LmN8vRt/KpW9sYb3HcDe",
+        "9fKd/aZ3kQ7/xx/Lm5Tn8Rw2Yp6/Vb4Hc1Jg0Es3Du",
+    ]
+    paths = [
+        "/usr/local/lib/python3/site-packages/module_2",
+        "com/2024/11/26/some-long-headline-of-the-day-17/",
+        "src/main/java/org/AbstractBeanFactory2/UtilClass",
+        "//assets/img/icons/a8f3k2/print/banner-1080p",
+    ]
+    rows = [(f"aws_secret_access_key={t} end",) for t in keys + paths]
+    found = {r.text: r.secret_spans for r in secret_scan.scan(spark.createDataFrame(rows, "text string")).collect()}
+    for text, key in zip((r[0] for r in rows), keys + paths, strict=True):
+        want = [(22, 3, 22 + len(key))] if key in keys else []
+        assert [(s.start, s.kind, s.end) for s in found[text]] == want, text
+
+
 def test_hilbert_walks_to_neighbours(spark):
     for n, bits in ((2, 3), (3, 2), (4, 2), (2, 1)):
         side = 1 << bits
