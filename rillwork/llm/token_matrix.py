@@ -130,7 +130,7 @@ def pack_tokens(
 
         waiting = 0
         for batch in batches:
-            ids, begin = own.ids(batch.column("text"), end_id)
+            ids, begin = own.ids(batch.column("text"), end_id, added=True)
             doc, piece, start, length = cut(np.diff(begin), seq_len)
             names = np.array([*batch.column("doc_id").to_pylist(), None], dtype=object)[:-1]
             held.append((ids, names[doc], piece, start, length))

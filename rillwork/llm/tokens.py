@@ -4,6 +4,9 @@ The tokenizer cuts a text at white space before it merges anything, so the
 ids of a text are those of its words in turn. Words are looked up in a table
 kept by each Python worker; only words not seen before are merged.
 
+The vocabulary's added tokens stand for themselves where a text holds them
+literally; texts are cut there before words are split.
+
 Merging is done by the rank-based BPE of ``tiktoken``: the vocabulary's order
 is its merge order, and the word-end mark is written as one space, a byte that
 no word holds. Both give the same ids for every word as long as each vocabulary
@@ -17,6 +20,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 
@@ -42,11 +46,15 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab = file["model"]["vocab"]
+        self._added = {t["content"]: t["id"] for t in file["added_tokens"]}
+        if any(t[k] for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"added tokens of {path} are not found by their literal text alone")
         chars = _byte_of_char()
         ranks = {}
         for token, i in vocab.items():
-            if token.startswith("<|") and token.endswith("|>") and i >= 49406:
+            if token in self._added:
                 continue
             end = token.endswith("</w>")
             raw = bytes(chars[c] for c in (token[:-4] if end else token))
@@ -55,7 +63,8 @@ class WordTokenizer:
         self._bpe = tiktoken.Encoding("word_ends", pat_str=r"[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
         self._ends = np.zeros(max(ranks.values()) + 1, dtype=bool)
         self._ends[[i for raw, i in ranks.items() if raw.endswith(b" ")]] = True
-        self.dtype = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
+        self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self._added, key=len, reverse=True))) + ")")
+        self.dtype = "<u2" if max(*ranks.values(), *self._added.values()) < 1 << 16 else "<u4"
         self._forget()
 
     def _forget(self) -> None:
@@ -91,11 +100,29 @@ class WordTokenizer:
         self._lengths[known : known + len(words)] = np.diff(cuts)
         self._used += len(ids)
 
-    def ids(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def _cut_ids(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """``ids`` of texts with added tokens: those of the pieces between, and a token's or ``end`` behind each."""
+        pieces: list[str] = []
+        behind: list[int] = []
+        first = [0]
+        for text in texts.to_pylist():
+            parts = self._cut.split(text or "")
+            pieces += parts[::2]
+            behind += [*map(self._added.__getitem__, parts[1::2]), -1 if end is None else end]
+            first.append(len(pieces))
+        ids, begin = self.ids(pa.array(pieces, pa.large_string()))
+        marks = np.array(behind, dtype=np.int64)
+        put = marks >= 0
+        return np.insert(ids, begin[1:][put], marks[put]), (begin + np.concatenate([[0], np.cumsum(put)]))[first]
+
+    def ids(self, texts: pa.Array, end: int | None = None, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's begin.
 
-        ``end``: an id to put after each text.
+        ``end``: an id to put after each text. ``added``: the vocabulary's added
+        tokens are taken as such, as the library does unless told to encode them.
         """
+        if added and any(pc.any(pc.match_substring(texts, t)).as_py() for t in self._added):
+            return self._cut_ids(texts, end)
         if len(self._seen) > CACHE_WORDS:
             self._forget()
         w = split_words(texts)

@@ -47,7 +47,7 @@ def token_pieces(df: DataFrame, vocabulary: str, seq_len: int = 2048, end_id: in
         give_back()
         own = tokenizer(vocabulary)
         for batch in batches:
-            ids, begin = own.ids(batch.column("text"), end_id)
+            ids, begin = own.ids(batch.column("text"), end_id, added=True)
             doc, piece, start, length = cut(np.diff(begin), seq_len)
             raw = memoryview(ids.astype("<u4", copy=False).tobytes())
             at = (begin[doc] + start) * 4

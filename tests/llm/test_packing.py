@@ -29,6 +29,40 @@ def test_ids_are_the_librarys(library, docs, edge_rows):
         assert ids[begin[k] : begin[k + 1]].tolist() == ids_of(library, text)
 
 
+ADDED = [
+    "alpha <|endoftext|> beta",
+    "<|endoftext|><|startoftext|>",
+    "a<|startoftext|>b <|ENDOFTEXT|> <|endoftext| > It's<|endoftext|>'s",
+    None,
+    "no literal here",
+    "<|endoftext|>\u0301x  \n<|startoftext|> " + "tail <|endoftext|> " * 1500,
+    "",
+]
+
+
+def test_added_tokens_are_the_librarys(spark):
+    """With the library's default settings, a literal added token is one id."""
+    library = Tokenizer.from_file(default_vocabulary())
+    assert ids_of(library, ADDED[0]) == [8624, 49407, 9505]
+    for end in (None, 0):
+        ids, begin = tokenizer(default_vocabulary()).ids(pa.array(ADDED, pa.string()), end, added=True)
+        for k, text in enumerate(ADDED):
+            assert ids[begin[k] : begin[k + 1]].tolist() == ids_of(library, text) + [0] * (end == 0)
+    rows = list(enumerate(ADDED))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = vector_packing.pack_vectors(df, default_vocabulary()).collect()
+    got = sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed), key=str)
+    assert got == expected_pieces(library, rows, 2048)
+    parts: dict = {}
+    for r in token_matrix.write_packed(token_matrix.pack_tokens(df, default_vocabulary())).collect():
+        line = np.frombuffer(r.input_ids, "<u2")
+        for k, place in enumerate(zip(r.doc_ids, r.starts, strict=True)):
+            parts[place] = line[r.cu_seqlens[k] : r.cu_seqlens[k + 1]].tolist()
+    for doc_id, text in rows:
+        own = [ids for (d, _), ids in sorted(parts.items()) if d == doc_id]
+        assert [x for ids in own for x in ids] == [*ids_of(library, text), 0]
+
+
 def test_every_entry_merges_to_itself(library):
     """What the rank-based BPE rests on: a token's text is that one token."""
     vocab = {k: i for k, i in library.get_vocab().items() if i < 49406}
