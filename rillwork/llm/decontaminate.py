@@ -17,7 +17,9 @@ only if its words can reach the threshold for some item; that bound is exact
 (see ``Index``).
 
 Test items are stated queries: they are taken in blocks of ITEM_BLOCK, each
-against all documents. Only such a block is on the driver or broadcast.
+against all documents. Only such a block is on the driver or broadcast. What BM25
+and passages need to know of all items (``Benchmark``) is counted before, so that
+a pair's score does not depend on the block.
 
 Cases: null or empty texts match nothing, on either side; an item without a
 word matches nothing; items of fewer words than N are matched as one whole run;
@@ -29,7 +31,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +68,56 @@ def grams(words: Words, i: int) -> np.ndarray:
     return np.unique(windows(own, np.array([0, len(own)]), k)[0])
 
 
+@dataclass
+class Benchmark:
+    """Of all test items: how many, their mean and greatest length in words, and how many hold each of the terms given."""
+
+    items: int
+    mean: float
+    longest: int
+    holding: Callable[[np.ndarray], np.ndarray]
+
+
+def counted(rows: DataFrame) -> Benchmark:
+    """``Benchmark`` of ``rows`` (item_id, text); a call of ``holding`` is a job that counts these terms only."""
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = words = longest = 0
+        for batch in batches:
+            own = np.diff(split_loose(batch.column("text")).first)
+            items, words, longest = items + len(own), words + int(own.sum()), int(own.max(initial=longest))
+        yield pa.RecordBatch.from_pydict({"items": [items], "words": [words], "longest": [longest]})
+
+    def holding(terms: np.ndarray) -> np.ndarray:
+        held = rows.sparkSession.sparkContext.broadcast(terms)  # of a block of items
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            terms = held.value
+            n = np.zeros(len(terms), np.int64)
+            for batch in batches:
+                words = split_loose(batch.column("text"))
+                item = np.repeat(np.arange(len(batch)), np.diff(words.first))
+                at = np.minimum(np.searchsorted(terms, words.hashes), len(terms) - 1)
+                known = terms[at] == words.hashes
+                once = np.unique(at[known] * len(batch) + item[known])
+                n += np.bincount(once // len(batch), minlength=len(terms))
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["term", "n"])
+
+        out = np.zeros(len(terms), np.int64)
+        if len(terms):
+            sums = rows.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+            out[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
+        held.destroy()
+        return out
+
+    total = rows.mapInArrow(lengths, "items long, words long, longest long").agg(
+        F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest")
+    )
+    items, words, longest = (x or 0 for x in total.first())
+    return Benchmark(items, words / max(items, 1), longest, holding)
+
+
 class Index:
     """Posting lists of the items' terms: items in order, impacts, and the greatest impact of each block.
 
@@ -73,7 +126,8 @@ class Index:
     threshold for an item has ``need`` of it from these terms alone.
     """
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float):
+    def __init__(self, items: list[tuple[int, str]], threshold: float, whole: Benchmark | None = None):
+        """``whole``: counts over all items, if ``items`` are not all."""
         self.ids = [i for i, _ in items]
         self.threshold = threshold
         words = split_loose(pa.array([t for _, t in items], pa.string()))
@@ -87,13 +141,13 @@ class Index:
         self.answer_n = [min(N, int(tell.first[i + 1] - tell.first[i])) for i in range(len(items))]
         self.terms, term = np.unique(words.hashes, return_inverse=True)
         lengths = np.diff(words.first)
-        self.longest = int(lengths.max(initial=0))
+        self.longest = whole.longest if whole else int(lengths.max(initial=0))
         item = np.repeat(np.arange(len(items)), lengths)
         pairs, tf = np.unique(term * max(len(items), 1) + item, return_counts=True)
         term, item = pairs // max(len(items), 1), pairs % max(len(items), 1)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
-        mean = max(lengths.mean(), 1e-9) if len(items) else 1.0
+        df = whole.holding(self.terms) if whole else np.bincount(term, minlength=len(self.terms))
+        idf = np.log(1 + ((whole.items if whole else len(items)) - df + 0.5) / (df + 0.5))
+        mean = max(whole.mean if whole else lengths.mean(), 1e-9) if len(items) else 1.0
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / mean))
         impact = weight / np.bincount(item, weight, minlength=len(items))[item]
         cuts = np.searchsorted(term, np.arange(len(self.terms) + 1))
@@ -228,10 +282,13 @@ def matches_of(index: Index, texts: pa.Array) -> list[tuple[int, int, float, flo
     return out
 
 
+def item_rows(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long"), "text").filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+
+
 def item_blocks(benchmark: DataFrame, size: int = ITEM_BLOCK) -> Iterator[list[tuple[int, str]]]:
     block: list[tuple[int, str]] = []
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    for r in rows.orderBy("item_id", "text").toLocalIterator():  # a block of stated queries at a time
+    for r in item_rows(benchmark).orderBy("item_id", "text").toLocalIterator():  # a block of stated queries at a time
         block.append((r[0], r[1]))
         if len(block) == size:
             yield block
@@ -240,14 +297,16 @@ def item_blocks(benchmark: DataFrame, size: int = ITEM_BLOCK) -> Iterator[list[t
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block: int = ITEM_BLOCK) -> DataFrame:
     """One row for each verified pair of a document of ``docs`` (doc_id, text) and an item."""
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = spark.createDataFrame([], MATCHES)
-    for items in item_blocks(benchmark):
-        index = spark.sparkContext.broadcast(Index(items, threshold))  # a block of items
+    whole = counted(item_rows(benchmark))
+    for items in item_blocks(benchmark, block):
+        one = len(items) == whole.items  # then the block knows all
+        index = spark.sparkContext.broadcast(Index(items, threshold, None if one else whole))  # a block of items
 
         def find(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             give_back()

@@ -186,6 +186,27 @@ def test_leaks_in_documents(spark, small, docs):
     assert found == {i for i, t in texts.items() if any(norm(x) in t for x in items)}
 
 
+def test_scores_do_not_depend_on_blocks(spark):
+    """Counts behind a score are those of the whole benchmark, however its items are dealt into blocks."""
+    rng = random.Random(11)
+    common, rare = [f"w{k}" for k in range(12)], [f"r{k}" for k in range(400)]
+    texts = [" ".join(rng.choice(common if rng.random() < 0.6 else rare) for _ in range(rng.randint(6, 40))) for _ in range(40)]
+    bench = spark.createDataFrame([*enumerate(texts), (None, "no id"), (99, None), (98, "")], "item_id long, text string")
+    passages = [" ".join(rng.choices(common, k=30)) + " " + t.rsplit(" ", 1)[0] + " and more" for t in texts]
+    df = spark.createDataFrame(list(enumerate(passages)), "doc_id long, text string").repartition(3)
+
+    def rows(block):
+        leaks = decontaminate.find_leaks(df, bench, block=block).collect()
+        return sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in leaks)
+
+    want = rows(1000)
+    assert len(want) >= 40
+    assert rows(14) == want
+    whole = decontaminate.counted(decontaminate.item_rows(bench))
+    assert (whole.items, whole.longest) == (41, max(len(t.split()) for t in texts))
+    assert whole.mean == pytest.approx(sum(len(t.split()) for t in texts) / 41)
+
+
 def test_item_blocks(spark):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert [len(b) for b in decontaminate.item_blocks(bench, 2)] == [2, 2, 1]
