@@ -5,8 +5,8 @@ three characters are hashed to features. A multinomial logistic regression is
 trained by follow-the-regularised-leader with elastic-net penalties, a document
 at a time, and a temperature fitted on documents kept out of the training turns
 its scores into probabilities. The model is fitted on the driver from a sample
-of labelled rows that is bounded by ``per_language``; it is applied to the whole
-of every text.
+of labelled rows that is bounded by ``per_language``, with document frequencies
+of all labelled rows; it is applied to the whole of every text.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; equal
 texts get equal results; long texts count whole; an empty table, or one without
@@ -88,6 +88,31 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def inverse_frequency(n: int, df: np.ndarray) -> np.ndarray:
+    return np.log((1 + n) / (1 + df)) + 1
+
+
+def frequencies(df: DataFrame) -> tuple[int, np.ndarray]:
+    """Texts of ``df`` that have a letter, and of each feature the texts that hold it; a row a feature on the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        n = np.zeros((1 << BITS) + 1, np.int64)  # the last is that of texts
+        for batch in batches:
+            row, feature, _ = features(batch.column("text").to_pylist())
+            n[:-1] += np.bincount(feature, minlength=1 << BITS)
+            n[-1] += len(np.unique(row))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["feature", "n"])
+
+    small_batches(df.sparkSession)
+    sums = df.select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    n = np.zeros((1 << BITS) + 1, np.int64)
+    for r in sums:
+        n[r["feature"]] = r["n"]
+    return int(n[-1]), n[:-1]
+
+
 def fit(
     samples: list[tuple[np.ndarray, np.ndarray]],
     labels: list[str],
@@ -96,14 +121,19 @@ def fit(
     l1: float = 2e-4,
     l2: float = 1e-4,
     passes: int = 3,
+    idf: np.ndarray | None = None,
 ) -> Model:
-    """FTRL-proximal over (features, counts) of each sample; every fifth sample calibrates."""
+    """FTRL-proximal over (features, counts) of each sample; every fifth sample calibrates.
+
+    ``idf``: of each feature; that of the samples if none is given.
+    """
     languages = sorted(set(labels))
     target = {name: k for k, name in enumerate(languages)}
-    df = np.zeros(1 << BITS)
-    for feature, _ in samples:
-        df[feature] += 1
-    idf = np.log((1 + len(samples)) / (1 + df)) + 1
+    if idf is None:
+        df = np.zeros(1 << BITS)
+        for feature, _ in samples:
+            df[feature] += 1
+        idf = inverse_frequency(len(samples), df)
     model = Model(languages, idf, np.zeros((1 << BITS, len(languages))), 1.0)
     xs = [(f, model.vectors(np.zeros(len(f), np.int64), f, c, 1)) for f, c in samples]
     ys = [target[name] for name in labels]
@@ -175,6 +205,7 @@ def train(df: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     return fit(
         [(np.frombuffer(r["f"], "<u2").astype(np.int64), np.frombuffer(r["c"], "<u4")) for r in rows],
         [r["lang"] for r in rows],
+        idf=inverse_frequency(*frequencies(own)),
     )
 
 

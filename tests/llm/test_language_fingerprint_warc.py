@@ -29,6 +29,17 @@ def test_training_sees_only_its_part(spark, docs):
     assert small.languages and not np.array_equal(small.weights, one.weights)
 
 
+def test_document_frequencies_cover_all_labelled_rows(docs):
+    """The sample bounds the fit only."""
+    held = language_id.held_out(docs["doc_id"])
+    texts = [r.text for r in docs.filter(~held & docs["lang"].isNotNull() & docs["text"].isNotNull()).collect()]
+    row, feature, _ = language_id.features(texts)
+    n, df = len(set(row.tolist())), np.bincount(feature, minlength=1 << language_id.BITS)
+    assert n > 40
+    for bound in (10, 800):
+        assert np.allclose(language_id.train(docs, per_language=bound).idf, np.log((1 + n) / (1 + df)) + 1)
+
+
 def test_no_letters(spark, edges, empty, docs):
     model = language_id.train(docs)
     for r in language_id.identify(edges, model).collect():
