@@ -5,7 +5,8 @@ without loss, and packs blocks of pieces: longest first, each into the open
 row with the least room that still holds it, found in a segment tree over room.
 A block holds a bounded number of ids, so memory is bounded and no id is
 shuffled. What a block leaves open is closed with it: less than one row in a
-thousand at the default block size.
+thousand for a full block of the default size. A task that does not fill one
+closes its open rows too, so many small partitions are packed less tightly.
 
 Cases: a null or empty text is one piece that holds the end id only; equal
 documents are packed each on its own; an empty table gives an empty table;
