@@ -16,8 +16,8 @@ minimiser does:
 4. the places of repeated windows go back to their documents, which drop every
    word that such a window covers.
 
-Words and windows are compared by 128 bits of hash. Windows are judged on the
-input as it is.
+Windows are compared by two hashes of 64 bits, each from its own hash of every
+word, so neither rests on the other. Windows are judged on the input as it is.
 
 Cases: a null or empty text has no words and the hash of nothing; texts under
 WINDOW words lose none; rows that repeat count as documents of their own; a null
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.llm.common import settle, shuffle_partitions, small_batches
-from rillwork.llm.words import Words, gather, mix, split_words, string_bytes, windows
+from rillwork.llm.words import Words, gather, split_words, string_bytes, windows
 
 WINDOW = 35
 SHORT = 8
@@ -131,9 +131,9 @@ def pack(affected: DataFrame, window: int) -> DataFrame:
 
 def window_hashes(packed: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two hashes of each window of each string, and where each string's windows begin."""
-    words = split_words(packed.cast(pa.string()))
+    words = split_words(packed.cast(pa.string()), second=True)
     one, _, begin = windows(words.hashes, words.first, window)
-    two, _, _ = windows(mix(words.hashes ^ np.uint64(0xD6E8FEB86659FD93)), words.first, window)
+    two, _, _ = windows(words.second, words.first, window)
     return one, two, begin
 
 
