@@ -1,8 +1,9 @@
 """Token ids of the public word-end BPE vocabulary, at a word a lookup.
 
 The tokenizer cuts a text at white space before it merges anything, so the
-ids of a text are those of its words in turn. Words are looked up in a table
-kept by each Python worker; only words not seen before are merged.
+ids of a text are those of its words in turn. The distinct words of a batch are
+looked up, by their bytes, in a table kept by each Python worker; only words not
+seen before are merged.
 
 The vocabulary's added tokens stand for themselves where a text holds them
 literally; texts are cut there before words are split.
@@ -42,7 +43,7 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class WordTokenizer:
-    """Ids of words, kept under the words' hashes."""
+    """Ids of words, kept under the words' bytes."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -68,7 +69,7 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self._seen: dict[int, int] = {}
+        self._seen: dict[bytes, int] = {}
         self._store, self._used = np.zeros(1 << 16, "<u4"), 1  # the first place holds the end id
         self._offsets, self._lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -81,9 +82,9 @@ class WordTokenizer:
             word = word.lower()
         return [word] if word.isalpha() else _PIECE.findall(word)
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         """Merge all of ``words`` in one call and cut the ids where pieces end."""
-        pieces = [self._pieces(w) for w in words]
+        pieces = [self._pieces(w.decode()) for w in words]
         counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
         flat = [p for own in pieces for p in own]
         text = " ".join(flat) + " " if flat else ""
@@ -91,7 +92,7 @@ class WordTokenizer:
         ends = np.concatenate([[0], np.flatnonzero(self._ends[ids]) + 1])
         cuts = ends[np.concatenate([[0], np.cumsum(counts)])]
         known, held = len(self._seen), self._used
-        self._seen.update(zip(hashes, range(known, known + len(words)), strict=True))
+        self._seen.update(zip(words, range(known, known + len(words)), strict=True))
         self._store = _room(self._store, held + len(ids))
         self._store[held : held + len(ids)] = ids
         self._offsets = _room(self._offsets, known + len(words))
@@ -110,28 +111,28 @@ class WordTokenizer:
             pieces += parts[::2]
             behind += [*map(self._added.__getitem__, parts[1::2]), -1 if end is None else end]
             first.append(len(pieces))
-        ids, begin = self.ids(pa.array(pieces, pa.large_string()))
+        ids, begin = self._plain_ids(pa.array(pieces, pa.large_string()), None)
         marks = np.array(behind, dtype=np.int64)
         put = marks >= 0
         return np.insert(ids, begin[1:][put], marks[put]), (begin + np.concatenate([[0], np.cumsum(put)]))[first]
 
-    def ids(self, texts: pa.Array, end: int | None = None, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and where each text's begin.
-
-        ``end``: an id to put after each text. ``added``: the vocabulary's added
-        tokens are taken as such, as the library does unless told to encode them.
-        """
-        if added and any(pc.any(pc.match_substring(texts, t)).as_py() for t in self._added):
+    def ids(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's begin; ``end``: an id to put after each text."""
+        if any(pc.any(pc.match_substring(texts, t)).as_py() for t in self._added):
             return self._cut_ids(texts, end)
+        return self._plain_ids(texts, end)
+
+    def _plain_ids(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """``ids`` of texts that hold no added token."""
         if len(self._seen) > CACHE_WORDS:
             self._forget()
         w = split_words(texts)
-        once, at, back = np.unique(w.hashes, return_index=True, return_inverse=True)
-        keys = once.tolist()
+        _, at, back = np.unique(w.hashes, return_index=True, return_inverse=True)
+        raw = w.data.tobytes()
+        keys = [raw[a:b] for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
         rows = list(map(self._seen.get, keys))
         if None in rows:
-            new = [k for k, row in enumerate(rows) if row is None]
-            self._learn([keys[k] for k in new], [w.word(k) for k in at[new].tolist()])
+            self._learn([w for w, row in zip(keys, rows, strict=True) if row is None])
             rows = list(map(self._seen.__getitem__, keys))
         rows = np.array(rows, dtype=np.int64)[back]
         offsets, lengths = self._offsets[rows], self._lengths[rows]

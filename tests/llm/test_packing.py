@@ -12,9 +12,7 @@ from rillwork.llm.tokens import default_vocabulary, tokenizer
 
 @pytest.fixture(scope="module")
 def library():
-    own = Tokenizer.from_file(default_vocabulary())
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(default_vocabulary())
 
 
 def ids_of(library, text):
@@ -40,12 +38,11 @@ ADDED = [
 ]
 
 
-def test_added_tokens_are_the_librarys(spark):
+def test_added_tokens_are_the_librarys(spark, library):
     """With the library's default settings, a literal added token is one id."""
-    library = Tokenizer.from_file(default_vocabulary())
     assert ids_of(library, ADDED[0]) == [8624, 49407, 9505]
     for end in (None, 0):
-        ids, begin = tokenizer(default_vocabulary()).ids(pa.array(ADDED, pa.string()), end, added=True)
+        ids, begin = tokenizer(default_vocabulary()).ids(pa.array(ADDED, pa.string()), end)
         for k, text in enumerate(ADDED):
             assert ids[begin[k] : begin[k + 1]].tolist() == ids_of(library, text) + [0] * (end == 0)
     rows = list(enumerate(ADDED))
