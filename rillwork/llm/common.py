@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: staged tables and batch bounds."""
+"""What the operators of this subpackage share: staged tables, sets of keys, batch bounds."""
 
 from __future__ import annotations
 
@@ -8,7 +8,10 @@ import ctypes
 import shutil
 import tempfile
 import uuid
+import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,18 +24,29 @@ BATCH_ROWS = 128
 #: A word, as the contracts define it.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bits of a set of keys (8 MB, whatever the data), and in how many parts they are put together.
+KEY_BITS, KEY_PARTS = 1 << 26, 64
+
+#: Spark drops the shuffle files of a query when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _OWN: dict[str, str] = {}
+#: Folders of the runs that are under way, the innermost last.
+_ROOMS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; where that is unset, as
-    in tests on one machine, a temporary folder stands in for it.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset and
+    all work is done on this machine, as in tests, a temporary folder stands in
+    for it; on several machines that would lose rows, so it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="rillwork-")
         atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
@@ -40,20 +54,44 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{_ROOMS[-1] if _ROOMS else shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a staged table or a folder of them, in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession, tag: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A folder for what one run stages. It is deleted at the end; what is to stay goes through the function given.
 
-def settle(df: DataFrame, tag: str) -> DataFrame:
+    That is one table more in the folder around it, which is the shared one for the outermost run.
+    """
+    outer = fresh_path(spark, f"{tag}-result")
+    _ROOMS.append(fresh_path(spark, tag))
+    try:
+        yield lambda df: settle(df, tag, outer)
+    finally:
+        remove(spark, _ROOMS.pop())
+
+
+def settle(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
     It cuts the lineage at a place that survives lost executors, and makes
-    every later reader see the same rows in the same files.
+    every later reader see the same rows in the same files. The shuffle files
+    behind it are dropped once it is written.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    # Spark drops the shuffle files of a finished query once the JVM notices that nothing refers to it.
-    spark._jvm.System.gc()
+    path = path or fresh_path(spark, tag)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,6 +103,58 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def key_places(keys: np.ndarray) -> np.ndarray:
+    """The two bits that stand for each 64-bit key."""
+    keys = keys.astype(np.int64, copy=False).view(np.uint64)
+    return np.stack([keys & np.uint64(KEY_BITS - 1), (keys >> np.uint64(37)) & np.uint64(KEY_BITS - 1)]).astype(np.int64)
+
+
+def may_hold(keys: DataFrame) -> Callable[[Column], Column]:
+    """Of a column of 64-bit keys: false only where a key is not among ``keys`` (one long column).
+
+    A Bloom filter of KEY_BITS bits, put together on executors, so that its size
+    does not grow with the keys: with more of them it only says true more often.
+    An exact join follows wherever it decides. Only the key goes to Python.
+    """
+    spark = keys.sparkSession
+    small_batches(spark)
+    size = KEY_BITS // 8 // KEY_PARTS
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(KEY_BITS // 8, np.uint8)
+        for batch in batches:
+            at = key_places(batch.column(0).to_numpy(zero_copy_only=False)).reshape(-1)
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        rows = bits.reshape(KEY_PARTS, size)
+        some = np.flatnonzero(rows.any(axis=1))
+        packed = pa.array([zlib.compress(rows[k].tobytes(), 1) for k in some], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), packed], ["part", "bits"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+                sums[r["part"]] = sums[r["part"]] | own if r["part"] in sums else own
+        packed = pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), packed], ["part", "bits"])
+
+    schema = "part long, bits binary"
+    one = keys.toDF("key").filter("key is not null")
+    bits = np.zeros((KEY_PARTS, size), np.uint8)
+    for r in one.mapInArrow(mark, schema).repartition(KEY_PARTS, "part").mapInArrow(unite, schema).collect():  # 8 MB at most
+        bits[r["part"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    held = spark.sparkContext.broadcast(bits.reshape(-1))  # KEY_BITS bits
+
+    @F.arrow_udf("boolean")
+    def test(key: pa.Array) -> pa.Array:
+        at = key_places(key.to_numpy(zero_copy_only=False))
+        hit = held.value[at >> 3] >> (at & 7).astype(np.uint8)
+        return pa.array((hit[0] & hit[1] & 1).astype(bool))
+
+    return lambda key: key.isNotNull() & test(F.coalesce(key, F.lit(0)))
+
+
 def give_back() -> None:
     """Return to the system what a Python worker has freed; workers live on from task to task."""
     pa.default_memory_pool().release_unused()
@@ -80,5 +170,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """Where the column of that name stands: by its exact name, else by its name in another case."""
+    names = df.columns
+    return names.index(name) if name in names else [n.lower() for n in names].index(name.lower())
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1 and so on, so that no name of the user's disturbs."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns only, whatever else the others are called."""
+    return numbered(df).select(*[F.col(f"c{place_of(df, n)}").alias(n) for n in names])
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

@@ -19,7 +19,9 @@ def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
 
     Rounds of large-star and small-star turn the edges into stars. Once the
     edges are few enough for one task, that task ends it by union-find.
-    Edges from a node to itself are kept as nodes of their own.
+    Edges from a node to itself are kept as nodes of their own. The least of each
+    node is staged before it is joined: both sides are then plain exchanges, so
+    the edges of a hub can be split over several tasks.
     """
     own = edges.select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
@@ -40,14 +42,14 @@ def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
 def large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to the least of its neighbourhood."""
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.filter("v >= u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = settle(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     near = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return near.union(least.select("u", "m")).distinct()
 

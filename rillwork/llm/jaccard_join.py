@@ -17,8 +17,14 @@ last that many documents have, by counters over all data. The join goes:
 4. what the bound lets through is verified on the sorted hashes.
 
 No pair of different components that meets in step 3 is left out, so the
-components are those of all links. A hot shingle is split over many tiles, and
-groups are never held by one task or the driver.
+components are those of all links. A hot shingle is split over many tiles. What
+is counted under a key is staged before it is joined, so that both sides of every
+join are plain exchanges: a task that would hold a hot key is split at run time.
+A shingle under which n rows of one size band and of several components still
+meet costs n * n / TILE copied rows of (id, size, bitmap).
+
+The plan is the same at all sizes. Texts are never shuffled: whose sets are
+needed is asked of a Bloom filter of fixed size, and the joins behind it are exact.
 
 Cases: a null or empty text, or one without words, has an empty set and no link;
 with fewer than five words the whole sequence is the one shingle; a row whose
@@ -36,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import give_back, settle, shuffle_partitions, small_batches
+from rillwork.llm.common import give_back, may_hold, pick, scratch, settle, shuffle_partitions, small_batches
 from rillwork.llm.components import components
 from rillwork.llm.words import mix, split_words, windows
 
@@ -49,8 +55,6 @@ COUNTERS = 1 << 20
 COUNTER_PARTS = 64
 #: Rows of one side of a tile.
 TILE = 512
-#: Ids up to which a table of ids is broadcast: 8 bytes each.
-BROADCAST_IDS = 1_000_000
 SETS = "doc_id long, n long, d1 long, d2 long, prefix array<long>, bitmap binary"
 
 
@@ -170,21 +174,17 @@ def describe(df: DataFrame) -> DataFrame:
     return df.mapInArrow(sets, SETS)
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """``ids``, to be broadcast if their number is within the bound."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def sorted_sets(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, hashes) of the rows of ``df`` whose id is in ``ids`` (doc_id)."""
+    """(doc_id, hashes) of the rows of ``df`` whose id is in ``ids`` (doc_id), and of a few more; no text is shuffled."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             hashes, begin = shingle_sets(batch.column("text"))
             raw = [hashes[a:b].tobytes() for a, b in zip(begin, begin[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "hashes"])
 
-    return df.join(few(ids), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, hashes binary")
+    return df.filter(may_hold(ids)(F.col("doc_id"))).mapInArrow(sets, "doc_id long, hashes binary")
 
 
 def verified(df: DataFrame, pairs: DataFrame, info: DataFrame) -> DataFrame:
@@ -273,7 +273,7 @@ def lay_tiles(meets: DataFrame) -> DataFrame:
         F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")
     )
     chunks = F.greatest(F.lit(1), F.ceil(F.col("rows") / TILE)).cast("int")
-    mixed = sizes.filter("low < high").select("token", "band", chunks.alias("chunks"))
+    mixed = settle(sizes.filter("low < high").select("token", "band", chunks.alias("chunks")), "bands")
     tiled = banded.join(mixed, ["token", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     return tiled.select("*", other).select(
@@ -291,21 +291,23 @@ def lay_tiles(meets: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with scratch(docs.sparkSession, "jaccard") as result:
+        return result(_components(pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))))
+
+
+def _components(df: DataFrame) -> DataFrame:
     own = settle(describe(df), "shingle-sets")
-    slim = own.select("doc_id", "n", "d1", "d2").filter("n > 0 and doc_id is not null")
-    first = slim.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     digest = ["n", "d1", "d2"]
-    member = settle(slim.join(first, digest).select("doc_id", "rep", *digest).distinct(), "members")
-    reps = member.filter("doc_id = rep").select("rep", *digest)
-    member = member.select("doc_id", "rep").distinct()
+    slim = own.select("doc_id", *digest).filter("n > 0 and doc_id is not null")
+    first = settle(slim.groupBy(*digest).agg(F.min("doc_id").alias("rep")), "first")
+    member = settle(slim.join(first, digest).select("doc_id", "rep").distinct(), "members")
     # size and bitmap of each set, under the id that stands for it
-    info = own.filter("prefix is not null").select(*digest, "bitmap").dropDuplicates(digest).join(reps, digest)
+    info = own.filter("prefix is not null").select(*digest, "bitmap").dropDuplicates(digest).join(first, digest)
     info = settle(info.select(F.col("rep").alias("doc_id"), "n", "bitmap"), "signatures")
 
     tokens = own.filter("prefix is not null").select("doc_id", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    meets = settle(tokens.join(shared.select("token", "lo"), "token"), "meets")
+    meets = settle(tokens.join(settle(shared.select("token", "lo"), "shared"), "token"), "meets")
     as_rep = member.toDF("doc_id", "node")
     stars = meets.select("lo", "doc_id").distinct().join(as_rep, "doc_id")
     stars = stars.join(member.toDF("lo", "hub"), "lo").filter("hub <> node")
@@ -317,21 +319,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     under = meets.join(as_rep, "doc_id").join(member.toDF("lo", "hub"), "lo").filter("hub <> node")
     under = under.select("token", "node").distinct()
     known = joined.select("node", "component")
-    parts = under.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = settle(under.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "under")
     sizes = parts.groupBy("token").agg(
         F.count("*").alias("rows"), F.min("component").alias("x"), F.max("component").alias("y")
     )
-    parts = settle(parts.join(sizes.filter("x < y").select("token", "rows"), "token"), "mixed")
+    parts = settle(parts.join(settle(sizes.filter("x < y").select("token", "rows"), "sizes"), "token"), "mixed")
     # shingles under which the same few documents meet are one group
     few_nodes = parts.filter(F.col("rows") <= TILE).groupBy("token").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
     groups = few_nodes.select("nodes").distinct().select(F.xxhash64("nodes").alias("token"), F.explode("nodes").alias("node"))
     groups = groups.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     many_nodes = parts.filter(F.col("rows") > TILE)
     under = many_nodes.select("token", "node", "component").unionByName(groups.select("token", "node", "component"))
-    laid = lay_tiles(under.join(info.withColumnRenamed("doc_id", "node"), "node"))
+    laid = lay_tiles(settle(under.join(info.withColumnRenamed("doc_id", "node"), "node"), "laid"))
     links2 = settle(verified(df, tile_pairs(laid), info), "links")
     # rows of one id are one node: its sets hang together
-    several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")
+    several = settle(member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b"), "several")
     same = member.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b")
     joined = components(links1.union(links2).union(same)).toDF("rep", "component")
 
