@@ -31,34 +31,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import fresh_path, settle, small_batches, text_or_empty
+from rillwork.llm.common import fresh_path, may_hold, pick, settle, small_batches, text_or_empty
 
 MIN_REVISIT = 100
-#: Revisits up to which their table is broadcast instead of moving the pages: about 150 bytes each.
-BROADCAST_REVISITS = 200_000
 CHUNK = 1 << 20
 FILES = "archive string, records long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def mark_revisits(pages: DataFrame) -> DataFrame:
-    """``pages`` (page_id, url, html) with digest, and refers_to where the record is a revisit."""
+    """``pages`` (page_id, url, html) with digest, and refers_to where the record is a revisit.
+
+    Only pages that a Bloom filter of fixed size takes for revisits move to the
+    join that decides; the others are told apart where they lie.
+    """
     html = text_or_empty("html")
     ids = pages.select(
         "page_id", F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n")
     ).filter(F.col("n") >= MIN_REVISIT)
     firsts = ids.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
-    revisits = (
-        ids.select("page_id", "digest")
-        .join(firsts.filter("n > 1").select("digest", "refers_to"), "digest")
-        .filter(F.col("page_id") > F.col("refers_to"))
-        .distinct()
-    )
+    firsts = settle(firsts.filter("n > 1").select("digest", "refers_to"), "firsts")
+    revisits = ids.select("page_id", "digest").join(firsts, "digest").filter(F.col("page_id") > F.col("refers_to")).distinct()
     revisits = settle(revisits, "revisits")
-    if revisits.count() <= BROADCAST_REVISITS:
-        revisits = F.broadcast(revisits)
     own = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
-    return own.join(revisits, ["page_id", "digest"], "left")
+    key = F.xxhash64("page_id", "digest")
+    some = may_hold(revisits.select(key))(key)
+    others = own.filter(~some).withColumn("refers_to", F.lit(None).cast(revisits.schema["refers_to"].dataType))
+    return others.unionByName(own.filter(some).join(revisits, ["page_id", "digest"], "left"))
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -85,6 +84,15 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def put(store: fs.FileSystem, own: str, name: str) -> None:
+    """Give a finished file its name; one that an earlier try of the task left there is replaced, in any store."""
+    try:
+        store.move(own, name)
+    except OSError:
+        store.delete_file(name)
+        store.move(own, name)
+
+
 def write_monolithic(marked: DataFrame, folder: str) -> DataFrame:
     """One archive of one gzip stream for each task; a row for each archive."""
     small_batches(marked.sparkSession)
@@ -103,7 +111,7 @@ def write_monolithic(marked: DataFrame, folder: str) -> DataFrame:
                     out.write(squeeze.compress(record(r["page_id"], r["url"], body, r["digest"], r["refers_to"])))
                     n += 1
             out.write(squeeze.flush())
-        store.move(own, f"{root}/{name}")
+        put(store, own, f"{root}/{name}")
         yield pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "records": [n]})
 
     return marked.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(write, FILES)
@@ -171,8 +179,8 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                         out.write(member)
                         at += len(member)
                         n += 1
-                store.move(own + ".index", f"{root}/{name}.index")
-                store.move(own, f"{root}/{name}")
+                put(store, own + ".index", f"{root}/{name}.index")
+                put(store, own, f"{root}/{name}")
                 yield pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "records": [n]})
 
     return archives.select("archive").mapInArrow(rewrite, FILES)
@@ -237,8 +245,9 @@ def lines(stream) -> Iterator[bytes]:
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``pages`` as archives, normalise them, and return what they hold."""
     spark = pages.sparkSession
+    small_batches(spark)
     folder = folder or fresh_path(spark, "warc")
-    whole = settle(write_monolithic(mark_revisits(pages), f"{folder}/whole"), "warc-whole")
-    tasks = max(1, len(whole.inputFiles()))
+    whole = settle(write_monolithic(mark_revisits(pick(pages, "page_id", "url", "html")), f"{folder}/whole"), "warc-whole")
+    tasks = max(1, whole.count())
     single = settle(normalise(whole.repartition(tasks, "archive"), f"{folder}/members"), "warc-members")
     return read_records(single.repartition(tasks, "archive"))
