@@ -16,6 +16,12 @@ minimiser does:
 4. the places of repeated windows go back to their documents, which drop every
    word that such a window covers.
 
+The plan is the same at all sizes: which documents' texts must move is asked of a
+Bloom filter of fixed size, with exact joins behind it. What is counted under a
+key is staged before it is joined, so that both sides of every join are plain
+exchanges and a task that would hold a hot minimiser, window or string is split at
+run time.
+
 Windows are compared by two hashes of 64 bits, each from its own hash of every
 word, so neither rests on the other. Windows are judged on the input as it is.
 
@@ -35,15 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import settle, shuffle_partitions, small_batches
+from rillwork.llm.common import may_hold, pick, scratch, settle, shuffle_partitions, small_batches
 from rillwork.llm.words import Words, gather, split_words, string_bytes, windows
 
 WINDOW = 35
 SHORT = 8
 #: Distinct strings of one minimiser that one bucket sorts.
 BUCKET_STRINGS = 2_000
-#: Documents up to which the table of their keys is broadcast: 16 bytes each.
-BROADCAST_KEYS = 1_000_000
 
 PLACES = "doc_id long, th long, n_words long, sha binary, mins array<long>, firsts array<int>, counts array<int>, marks array<int>"
 PACKED = "doc_id long, th long, first int, m long, p1 long, p2 long, packed binary"
@@ -198,7 +202,7 @@ def count_windows(strings: DataFrame, window: int) -> DataFrame:
 
     rows = strings.select("p1", "p2", "packed", "c").mapInArrow(explode, "w1 long, w2 long, j int, p1 long, p2 long, c long")
     rows = settle(rows, "windows")
-    more = rows.groupBy("w1", "w2").agg(F.sum("c").alias("n")).filter("n > 1").select("w1", "w2")
+    more = settle(rows.groupBy("w1", "w2").agg(F.sum("c").alias("n")).filter("n > 1").select("w1", "w2"), "more")
     hits = rows.join(more, ["w1", "w2"], "left_semi")
     return hits.groupBy("p1", "p2").agg(F.collect_list("j").alias("at"))  # windows of one string
 
@@ -228,6 +232,11 @@ def drop_words(affected: DataFrame, window: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, bucket: int = BUCKET_STRINGS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
+    with scratch(docs.sparkSession, "repeats") as result:
+        return result(_repeats(pick(docs, "doc_id", "text"), window, short, bucket))
+
+
+def _repeats(docs: DataFrame, window: int, short: int, bucket: int) -> DataFrame:
     nowhere = -(1 << 63)
     df = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(nowhere)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
@@ -238,25 +247,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT, bu
     each = own.select(*key, zipped).select(
         *key, F.col("s.mins").alias("m"), F.col("s.firsts").alias("first"), F.col("s.counts").alias("count"), F.col("s.marks").alias("marks")
     )
-    shared = each.groupBy("m").agg(F.sum("marks").alias("n")).filter("n > 1").select("m")
+    shared = settle(each.groupBy("m").agg(F.sum("marks").alias("n")).filter("n > 1").select("m"), "shared")
     noted = each.join(shared, "m", "left_semi")
     refs = settle(noted.groupBy(*key).agg(F.collect_list(F.struct("first", "count", "m")).alias("refs")), "noted")
-    keys = refs.select(*key)
-    near = df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, "left_semi")
-    affected = settle(near.join(refs, key).select(*key, "text", "refs"), "affected")
 
-    packed = settle(pack(affected, window), "packed")
+    packed = settle(pack(texts_of(df, refs, key), window), "packed")
     strings = packed.groupBy("p1", "p2").agg(F.first("m").alias("m"), F.first("packed").alias("packed"), F.count("*").alias("c"))
     strings = settle(strings, "strings")
     large = settle(strings.groupBy("m").agg(F.count("*").alias("n")).filter(F.col("n") > bucket).select("m"), "large")
     repeated = sort_buckets(strings.join(large, "m", "left_anti"), window)
     repeated = repeated.unionByName(count_windows(strings.join(large, "m", "left_semi"), window))
-    back = packed.select(*key, "first", "p1", "p2").join(repeated.filter(F.size("at") > 0), ["p1", "p2"])
+    repeated = settle(repeated.filter(F.size("at") > 0), "repeated")
+    back = packed.select(*key, "first", "p1", "p2").join(repeated, ["p1", "p2"])
     hits = back.groupBy(*key).agg(F.collect_list(F.struct("first", "at")).alias("hits"))  # windows of one document
-    left = drop_words(affected.dropDuplicates(key).join(hits, key), window)
+    left = drop_words(texts_of(df, settle(hits, "hits"), key), window).dropDuplicates(key)
     return own.select(*key, "n_words", "sha").join(left, key, "left").select(
         F.when(F.col("doc_id") != nowhere, F.col("doc_id")).alias("doc_id"),
         "n_words",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.lower(F.hex(F.coalesce("kept", "sha"))).alias("kept_sha256"),
     )
+
+
+def texts_of(df: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` (key and more) with the texts of their documents; of other documents hardly any text moves."""
+    some = may_hold(rows.select(F.xxhash64(*key)))
+    return df.filter(some(F.xxhash64(*key))).join(rows, key)
