@@ -12,15 +12,20 @@ themselves, laid end to end, give every start. They count code points; ends are
 exclusive.
 
 Cases: a null or empty text has no spans; equal spans of several kinds are all
-kept; an empty table gives an empty table; other columns are kept as they are.
+kept; an empty table gives an empty table; other columns are kept as they are,
+whatever their names, but for one that is called like the result, which it takes
+the place of. Work grows with the length of a text, of a candidate, and with the
+number of matches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import text_or_empty
+from rillwork.llm.common import numbered, place_of
 
 # Fixed values of the contract: kinds, in order, and their patterns.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -50,33 +55,66 @@ ALLOWED = (
     r"(?i)example|sample|dummy|xxxx|0123456|abcdef0|123456789",
 )
 
+#: Matches that are laid end to end in one go.
+BLOCK = 256
+
 SPAN = "array<struct<kind:int,start:int,end:int>>"
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is worked out once however often ``then`` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches, in order: array of (start, end, match)."""
+    """Leftmost non-overlapping matches, in order: array of (start, end, match).
+
+    They are laid end to end in blocks, first the blocks by their lengths and
+    then the matches of each, so that no fold carries a list of all of them.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    return F.aggregate(
-        F.arrays_zip(between.alias("b"), found.alias("m")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out")),
-        lambda acc, x: F.when(x["m"].isNull(), acc).otherwise(
-            F.struct(
-                (acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(x["b"])).alias("start"),
-                            (acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("end"),
-                            x["m"].alias("match"),
-                        )
-                    ),
-                ).alias("out"),
-            )
-        ),
-        lambda acc: acc["out"],
-    )
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("b"), found.alias("m"))
+    width = lambda x: F.length(x["b"]) + F.coalesce(F.length(x["m"]), F.lit(0))
+
+    def cut(all_pieces: Column) -> Column:
+        number = F.sequence(F.lit(0), F.floor((F.size(all_pieces) - 1) / BLOCK).cast("int"))
+        return F.transform(number, lambda k: F.slice(all_pieces, k * BLOCK + 1, F.lit(BLOCK)))
+
+    def starts(blocks: Column) -> Column:
+        return F.aggregate(
+            blocks,
+            F.array(F.lit(0)),
+            lambda acc, own: F.concat(
+                acc, F.array(F.aggregate(own, F.element_at(acc, -1), lambda at, x: at + width(x)))
+            ),
+        )
+
+    def lay(own: Column, first: Column) -> Column:
+        return F.aggregate(
+            own,
+            F.struct(first.alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out")),
+            lambda acc, x: F.when(x["m"].isNull(), acc).otherwise(
+                F.struct(
+                    (acc["at"] + width(x)).alias("at"),
+                    F.concat(
+                        acc["out"],
+                        F.array(
+                            F.struct(
+                                (acc["at"] + F.length(x["b"])).alias("start"),
+                                (acc["at"] + width(x)).alias("end"),
+                                x["m"].alias("match"),
+                            )
+                        ),
+                    ).alias("out"),
+                )
+            ),
+            lambda acc: acc["out"],
+        )
+
+    def laid(blocks: Column) -> Column:
+        return once(starts(blocks), lambda at: F.flatten(F.transform(blocks, lambda own, k: lay(own, F.get(at, k)))))
+
+    return once(once(pieces, cut), laid)
 
 
 def spans_of(text: Column, pattern: str, kind: str, keep=None) -> Column:
@@ -102,14 +140,16 @@ def most_entropy(candidate: Column, alphabet: str, window: int) -> Column:
     def term(c: Column) -> Column:
         return F.when(c > 1, c * F.log2(F.when(c > 1, c).otherwise(1).cast("double"))).otherwise(0.0)
 
-    chars = F.split(candidate, "")
-    places = F.transform(chars, lambda ch: F.position(ch, F.lit(alphabet)) - 1)
-    pairs = F.transform(
-        places,
-        lambda p, i: F.struct(
-            p.alias("come"), F.when(i >= window, F.get(places, i - window)).otherwise(-1).alias("go"), i.alias("i")
-        ),
-    )
+    places = F.transform(F.split(candidate, ""), lambda ch: F.position(ch, F.lit(alphabet)) - 1)
+
+    def pairs(places: Column) -> Column:
+        return F.transform(
+            places,
+            lambda p, i: F.struct(
+                p.alias("come"), F.when(i >= window, F.get(places, i - window)).otherwise(-1).alias("go"), i.alias("i")
+            ),
+        )
+
     zero = F.struct(
         F.array_repeat(F.lit(0), len(alphabet)).alias("n"), F.lit(0.0).alias("s"), F.lit(-1.0).alias("best")
     )
@@ -132,7 +172,7 @@ def most_entropy(candidate: Column, alphabet: str, window: int) -> Column:
             F.when(x["i"] >= window - 1, F.greatest(acc["best"], entropy)).otherwise(acc["best"]).alias("best"),
         )
 
-    return F.aggregate(pairs, zero, step, lambda acc: acc["best"])
+    return F.aggregate(once(places, pairs), zero, step, lambda acc: acc["best"])
 
 
 def core_of(candidate: Column) -> Column:
@@ -161,8 +201,9 @@ def entropy_spans(text: Column, kind: str, alphabet: str, least: float, window:
 
 
 def scan(df: DataFrame, window: int = ENTROPY_WINDOW, into: str = "secret_spans") -> DataFrame:
-    """``df`` (text and more) with the column ``into``: array of (kind, start, end) by start, then kind as in KINDS."""
-    text = text_or_empty()
+    """``df`` (text and more) with the column ``into``: array of (start, kind, end) by start, then kind as in KINDS."""
+    plain, names = numbered(df), df.columns
+    text = F.coalesce(F.col(f"c{place_of(df, 'text')}"), F.lit(""))
     parts = [
         spans_of(text, ASSIGN, "assign", lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 1)) >= ASSIGN_VALUE),
         spans_of(text, ACCESS, "access"),
@@ -175,7 +216,8 @@ def scan(df: DataFrame, window: int = ENTROPY_WINDOW, into: str = "secret_spans"
             lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")),
         )
     )
-    return df.withColumn(into, in_order)
+    kept = [k for k, name in enumerate(names) if name != into]
+    return plain.select(*[F.col(f"c{k}") for k in kept], in_order.alias("found")).toDF(*[names[k] for k in kept], into)
 
 
 def spans_text(spans: Column, base_only: bool = False) -> Column:

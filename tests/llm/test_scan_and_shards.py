@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 
 from pyspark.sql import functions as F
@@ -133,3 +134,23 @@ def test_shards(edges, edge_rows, docs, empty):
 def test_written_shards(spark, docs, tmp_path):
     hilbert_shards.write_shards(hilbert_shards.hilbert_shards(docs, shards=4), str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 4
+
+
+def test_long_candidates_and_many_matches(spark):
+    """A run of 200,000 characters and 20,000 secrets in one text, with work in proportion."""
+    run = "".join("aB3dE5gH7jK9mN1pQ"[(k * k + k // 7) % 17] for k in range(200_000))
+    many = " ".join(f"token={k:012d}x" for k in range(20_000))
+    plain = "ab" * 100_000
+    df = spark.createDataFrame([(1, f"key {run} end"), (2, many), (3, plain), (4, "a" * 19 + "/" + plain)], "doc_id long, text string")
+    began = time.time()
+    rows = secret_scan.scan(df).collect()
+    assert time.time() - began < 60
+    for r in rows:
+        assert [(s.start, s.kind, s.end) for s in r.secret_spans] == spans_by_hand(r.text)
+
+
+def test_clashing_columns(spark):
+    """Further columns come through whatever they are called; one called like the result is replaced."""
+    df = spark.createDataFrame([("token=abcdefghijklmnop", "a", "b", 1)], "text string, `a.b` string, Text string, secret_spans int")
+    (r,) = secret_scan.scan(df).collect()
+    assert tuple(r)[:3] == ("token=abcdefghijklmnop", "a", "b") and len(r) == 4 and len(r[3]) == 1
