@@ -7,19 +7,22 @@ passage covers, and one threshold serves all items. Block-max WAND walks the
 posting lists of a passage's terms: a pivot is found from the terms' greatest
 impacts, refined by the greatest impacts of the blocks it falls in, and only
 then scored. Retrieved pairs are verified by the overlap of word n-grams with
-the item's question and with its answer (its last sentence).
+the item's question and with its answer (its last sentence): both reach OVERLAP,
+or the item as a whole does and each of the two at least PARTIAL.
 
 Words are runs of letters and digits; A to Z and the accented capitals of
 Latin-1 count as small letters, so case and punctuation do not hide a copy.
-A text is cut into blocks as long as the longest item, and each two blocks in a
-row are a passage, so each copy lies whole in one of them. A passage is walked
-only if its words can reach the threshold for some item; that bound is exact
-(see ``Index``).
+Items are dealt by length into bands (up to 16 words, 32, 64 and so on), each with
+an index of its own. A text is cut into blocks of the band's greatest length, and
+each two blocks in a row are a passage, so each copy lies whole in one of them and
+a long item does not widen the passages of short ones. A passage is walked only if
+its words can reach the threshold for some item; that bound is exact (see ``Index``).
 
 Test items are stated queries: they are taken in blocks of ITEM_BLOCK, each
-against all documents. Only such a block is on the driver or broadcast. What BM25
-and passages need to know of all items (``Benchmark``) is counted before, so that
-a pair's score does not depend on the block.
+against all documents, so the corpus is read once for each ITEM_BLOCK of items.
+Only such a block is on the driver or broadcast. What BM25 needs to know of all
+items (``Benchmark``) is counted before, so that a pair's score does not depend on
+the block.
 
 Cases: null or empty texts match nothing, on either side; an item without a
 word matches nothing; items of fewer words than N are matched as one whole run;
@@ -39,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import give_back, small_batches
+from rillwork.llm.common import give_back, pick, small_batches
 from rillwork.llm.words import Words, gather, split_loose, windows
 
 K1, B = 1.2, 0.75
@@ -47,6 +50,10 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 #: Words of an n-gram, and the part of n-grams that must be there.
 N, OVERLAP = 5, 0.8
+#: Part of the n-grams of question and of answer that must be there even if the whole item's reach OVERLAP.
+PARTIAL = 0.5
+#: Words of the items of the first band.
+BAND = 16
 ITEM_BLOCK = 20_000
 #: Items of one block of a posting list.
 POSTING_BLOCK = 16
@@ -118,6 +125,16 @@ def counted(rows: DataFrame) -> Benchmark:
     return Benchmark(items, words / max(items, 1), longest, holding)
 
 
+def counted_here(items: list[tuple[int, str]]) -> Benchmark:
+    """``Benchmark`` of items that are all there are."""
+    words = split_loose(pa.array([t for _, t in items], pa.string()))
+    lengths = np.diff(words.first)
+    terms, term = np.unique(words.hashes, return_inverse=True)
+    pairs = np.unique(term * max(len(items), 1) + np.repeat(np.arange(len(items)), lengths))
+    n = np.bincount(pairs // max(len(items), 1), minlength=len(terms))
+    return Benchmark(len(items), float(lengths.sum()) / max(len(items), 1), int(lengths.max(initial=0)), lambda some: n[np.searchsorted(terms, some)])
+
+
 class Index:
     """Posting lists of the items' terms: items in order, impacts, and the greatest impact of each block.
 
@@ -126,8 +143,9 @@ class Index:
     threshold for an item has ``need`` of it from these terms alone.
     """
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float, whole: Benchmark | None = None):
-        """``whole``: counts over all items, if ``items`` are not all."""
+    def __init__(self, items: list[tuple[int, str]], threshold: float, whole: Benchmark | None = None, span: int = 0):
+        """``whole``: counts over all items, if ``items`` are not all; ``span``: words of a block, the longest item's if 0."""
+        whole = whole or counted_here(items)
         self.ids = [i for i, _ in items]
         self.threshold = threshold
         words = split_loose(pa.array([t for _, t in items], pa.string()))
@@ -141,13 +159,13 @@ class Index:
         self.answer_n = [min(N, int(tell.first[i + 1] - tell.first[i])) for i in range(len(items))]
         self.terms, term = np.unique(words.hashes, return_inverse=True)
         lengths = np.diff(words.first)
-        self.longest = whole.longest if whole else int(lengths.max(initial=0))
+        self.span = span or int(lengths.max(initial=1))
         item = np.repeat(np.arange(len(items)), lengths)
         pairs, tf = np.unique(term * max(len(items), 1) + item, return_counts=True)
         term, item = pairs // max(len(items), 1), pairs % max(len(items), 1)
-        df = whole.holding(self.terms) if whole else np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + ((whole.items if whole else len(items)) - df + 0.5) / (df + 0.5))
-        mean = max(whole.mean if whole else lengths.mean(), 1e-9) if len(items) else 1.0
+        df = whole.holding(self.terms)
+        idf = np.log(1 + (whole.items - df + 0.5) / (df + 0.5))
+        mean = max(whole.mean, 1e-9)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / mean))
         impact = weight / np.bincount(item, weight, minlength=len(items))[item]
         cuts = np.searchsorted(term, np.arange(len(self.terms) + 1))
@@ -173,13 +191,6 @@ class Index:
         self.key_offsets = np.searchsorted(term[key], np.arange(len(self.terms) + 1))
         self.need = threshold - 1 + np.bincount(self.key_items, self.key_impacts, minlength=len(items)) - 1e-9
 
-    def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        """Term numbers, -1 for words of no item."""
-        if not len(self.terms):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        return np.where(self.terms[at] == hashes, at, -1)
-
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """All items that the distinct ``terms`` cover to the threshold: block-max WAND."""
         goal = self.threshold - 1e-9
@@ -225,9 +236,35 @@ class Index:
         return found
 
 
+class Bands:
+    """A block of items, dealt into bands by length, and the terms of all of them."""
+
+    def __init__(self, items: list[tuple[int, str]], threshold: float, whole: Benchmark | None = None):
+        whole = whole or counted_here(items)
+        words = split_loose(pa.array([t for _, t in items], pa.string()))
+        lengths = np.diff(words.first)
+        self.terms = np.unique(words.hashes)
+        n = whole.holding(self.terms)
+        same = Benchmark(whole.items, whole.mean, whole.longest, lambda some: n[np.searchsorted(self.terms, some)])
+        bound = np.maximum(BAND, 1 << np.ceil(np.log2(np.maximum(lengths, 1))).astype(np.int64))
+        #: of each band its index and the number there of each of ``terms``, -1 for terms of other bands
+        self.bands: list[tuple[Index, np.ndarray]] = []
+        for span in np.unique(bound[lengths > 0]).tolist():
+            own = [items[k] for k in np.flatnonzero((bound == span) & (lengths > 0)).tolist()]
+            index = Index(own, threshold, same, span)
+            number = np.full(len(self.terms) + 1, -1)  # the last is that of words of no item
+            number[np.searchsorted(self.terms, index.terms)] = np.arange(len(index.terms))
+            self.bands.append((index, number))
+
+    def lookup(self, hashes: np.ndarray) -> np.ndarray:
+        """Places in ``terms``, the one behind them all for words of no item."""
+        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+        return np.where(self.terms[at] == hashes, at, len(self.terms))
+
+
 def passages_to_walk(index: Index, words: Words, term: np.ndarray) -> list[tuple[int, int, int]]:
     """(text, first word, end) of each passage whose key terms reach the need of some item."""
-    span = index.longest
+    span = index.span
     n = np.diff(words.first)
     base = np.concatenate([[0], np.cumsum(-(-n // span))])
     hits = np.flatnonzero((term >= 0) & (np.diff(index.key_offsets)[term] > 0))
@@ -252,38 +289,41 @@ def passages_to_walk(index: Index, words: Words, term: np.ndarray) -> list[tuple
     return out
 
 
-def matches_of(index: Index, texts: pa.Array) -> list[tuple[int, int, float, float, float]]:
+def matches_of(block: Bands, texts: pa.Array) -> list[tuple[int, int, float, float, float]]:
     """(text, item, score, question overlap, answer overlap) of all verified pairs."""
-    if not len(index.terms):
+    if not block.bands:
         return []
     words = split_loose(texts)
-    term = index.lookup(words.hashes)
-    best: dict[tuple[int, int], float] = {}
-    for i, start, end in passages_to_walk(index, words, term):
-        own = np.unique(term[start:end])
-        for item, score in index.search(own[own >= 0].tolist()):
-            best[i, item] = max(best.get((i, item), 0.0), score)
+    at = block.lookup(words.hashes)
     out, seen = [], {}
-    for (i, item), score in sorted(best.items()):
-        own = words.hashes[words.first[i] : words.first[i + 1]]
-
-        def part(wanted: np.ndarray, k: int, i: int = i, own: np.ndarray = own) -> float:
-            if (i, k) not in seen:
-                seen[i, k] = np.unique(windows(own, np.array([0, len(own)]), k)[0])
-            return float(np.isin(wanted, seen[i, k]).mean()) if len(wanted) else 0.0
-
-        asked = part(index.question[item], index.question_n[item])
-        told = part(index.answer[item], index.answer_n[item])
-        whole = part(index.whole[item], min(N, index.short[item]))
-        if whole >= OVERLAP or (asked >= OVERLAP and told >= OVERLAP):
-            out.append((i, index.ids[item], min(score, 1.0), asked, told))
-        if len(seen) > 64:
-            seen.clear()
+
+    def part(wanted: np.ndarray, k: int, i: int) -> float:
+        if (i, k) not in seen:
+            if len(seen) > 64:
+                seen.clear()
+            own = words.hashes[words.first[i] : words.first[i + 1]]
+            seen[i, k] = np.unique(windows(own, np.array([0, len(own)]), k)[0])
+        return float(np.isin(wanted, seen[i, k]).mean()) if len(wanted) else 0.0
+
+    for index, number in block.bands:
+        term = number[at]
+        best: dict[tuple[int, int], float] = {}
+        for i, start, end in passages_to_walk(index, words, term):
+            own = np.unique(term[start:end])
+            for item, score in index.search(own[own >= 0].tolist()):
+                best[i, item] = max(best.get((i, item), 0.0), score)
+        for (i, item), score in sorted(best.items()):
+            asked = part(index.question[item], index.question_n[item], i)
+            told = part(index.answer[item], index.answer_n[item], i)
+            least = min(asked, told)
+            if least >= OVERLAP or (least >= PARTIAL and part(index.whole[item], min(N, index.short[item]), i) >= OVERLAP):
+                out.append((i, index.ids[item], min(score, 1.0), asked, told))
     return out
 
 
 def item_rows(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select(F.col("item_id").cast("long"), "text").filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    own = pick(benchmark, "item_id", "text").withColumn("item_id", F.col("item_id").cast("long"))
+    return own.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
 
 
 def item_blocks(benchmark: DataFrame, size: int = ITEM_BLOCK) -> Iterator[list[tuple[int, str]]]:
@@ -301,12 +341,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """One row for each verified pair of a document of ``docs`` (doc_id, text) and an item."""
     spark = docs.sparkSession
     small_batches(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     out = spark.createDataFrame([], MATCHES)
     whole = counted(item_rows(benchmark))
     for items in item_blocks(benchmark, block):
         one = len(items) == whole.items  # then the block knows all
-        index = spark.sparkContext.broadcast(Index(items, threshold, None if one else whole))  # a block of items
+        index = spark.sparkContext.broadcast(Bands(items, threshold, None if one else whole))  # a block of items
 
         def find(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             give_back()
