@@ -5,12 +5,14 @@ three characters are hashed to features. A multinomial logistic regression is
 trained by follow-the-regularised-leader with elastic-net penalties, a document
 at a time, and a temperature fitted on documents kept out of the training turns
 its scores into probabilities. The model is fitted on the driver from a sample
-of labelled rows that is bounded by ``per_language``, with document frequencies
-of all labelled rows; it is applied to the whole of every text.
+of labelled rows, at most ``per_language`` different texts of each of the LANGUAGES
+most frequent languages, with document frequencies of all labelled rows; it is
+applied to the whole of every text. Only the text goes to Python for that.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; equal
 texts get equal results; long texts count whole; an empty table, or one without
-a labelled row, gives ``und`` for every row; other columns are ignored.
+a labelled row, gives ``und`` for every row; other columns are kept as they are,
+whatever their names, but for those called like the results, which they replace.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import give_back, small_batches
+from rillwork.llm.common import give_back, numbered, pick, place_of, small_batches
 
 BITS = 13
-#: Labelled rows of one language that the model is fitted on, about; the bound of the sample.
-PER_LANGUAGE = 800
+#: Labelled rows of one language that the model is fitted on at most, and how many languages: the bound of the sample.
+PER_LANGUAGE, LANGUAGES = 800, 256
 UNKNOWN = "und"
 _NO_LETTERS = regex.compile(r"[^\p{L}]+")
 _STEPS = np.random.Generator(np.random.PCG64(6)).integers(0, 2**64, 3, dtype=np.uint64) | np.uint64(1)
@@ -171,17 +173,18 @@ def fit(
 def train(df: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit a model from the labelled rows of ``df`` (doc_id, text, lang) that are not held out.
 
-    A language with more rows than ``per_language`` gives those whose hash is
-    small, so the sample is the same each time and its size is bounded.
+    A language with more texts than ``per_language`` gives those whose hash is
+    small, so the sample is the same each time; rows with one text count once.
     """
-    own = df.select("doc_id", "text", "lang").filter(
+    small_batches(df.sparkSession)
+    own = pick(df, "doc_id", "text", "lang").filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     )
-    counts = own.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
+    counts = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["n"]))])
-    point = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * per_language / r["n"]))])
+    point = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +200,10 @@ def train(df: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
                 }
             )
 
-    sample = own.filter(point < share[F.col("lang")]).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    some = own.withColumn("hash", F.xxhash64("text")).filter(point < share[F.col("lang")])
+    some = some.groupBy("lang", "hash").agg(F.min(F.col("doc_id").cast("long")).alias("doc_id"), F.first("text").alias("text"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))  # of twice per_language texts, about
+    sample = some.withColumn("rank", order).filter(F.col("rank") <= per_language).select("doc_id", "text", "lang")
     rows = sample.mapInArrow(counted, "key long, lang string, f binary, c binary").collect()  # bounded by per_language
     rows = sorted((r for r in rows if r["f"]), key=lambda r: (zlib.crc32(str(r["key"]).encode()), r["key"]))
     if not rows:
@@ -214,13 +220,12 @@ def identify(
 ) -> DataFrame:
     """``df`` (text and more) with the language and the score in the columns ``into``."""
     small_batches(df.sparkSession)
-    schema = [f for f in df.schema.fields if f.name not in into]
-    names = [f.name for f in schema]
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang string, score double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         give_back()
         for batch in batches:
-            texts = batch.column(names.index("text")).to_pylist()
+            texts = batch.to_pylist()
             if model is None:
                 name, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
             else:
@@ -228,10 +233,11 @@ def identify(
                 best = odds.argmax(axis=1)
                 name = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)]
                 score = np.where(letters, odds.max(axis=1), 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(name, pa.string()), pa.array(score, pa.float64())], [*names, *into]
-            )
-
-    out = df.select(*names).schema
-    out = out.add(into[0], "string").add(into[1], "double")
-    return df.select(*names).mapInArrow(predict, out)
+            columns = [pa.array(name, pa.string()), pa.array(score, pa.float64())]
+            yield pa.StructArray.from_arrays(columns, ["lang", "score"])
+
+    names = df.columns
+    kept = [k for k, name in enumerate(names) if name not in into]
+    columns = [F.col(f"c{k}") for k in kept]
+    found = numbered(df).select(*columns, predict(F.col(f"c{place_of(df, 'text')}").cast("string")).alias("found"))
+    return found.select(*columns, "found.lang", "found.score").toDF(*[names[k] for k in kept], *into)
