@@ -7,7 +7,9 @@ a sequence, says all that packing needs. The driver packs that histogram:
 lengths from the longest, each into the open bin that scores best among those
 with room in every dimension. Bins in the same state are kept as one entry with
 a count, so the work does not grow with the number of documents. Pieces then
-find their bin by their rank among those of their length, counted in buckets.
+find their bin by their rank among those of their length: a task numbers its own
+pieces as it cuts them, and a table of counts, a row for each task and length, says
+how many come before.
 
 ``score="norm"`` takes the bin whose weighted residual norm after placing is
 least; ``score="dot"`` the bin whose weighted dot-product of residual and demand
@@ -24,28 +26,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import give_back, settle, small_batches
+from rillwork.llm.common import give_back, pick, settle, small_batches
 from rillwork.llm.token_matrix import cut
 from rillwork.llm.tokens import tokenizer
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 PLAN = "length long, lo long, hi long, each long, first_sequence long, at long"
-#: Pieces that one bucket ranks, about.
-BUCKET_ROWS = 5_000
 #: Plan rows up to which the plan is broadcast (48 bytes a row); the histogram bounds them, this makes sure.
 PLAN_ROWS = 200_000
 
 
 def token_pieces(df: DataFrame, vocabulary: str, seq_len: int = 2048, end_id: int = 0) -> DataFrame:
-    """Pieces of each document of ``df`` (doc_id, text): only documents longer than ``seq_len`` are cut."""
+    """Pieces of each document of ``df`` (doc_id, text): only documents longer than ``seq_len`` are cut.
+
+    part and nth: the task, and how many pieces of the same length it gave before.
+    """
     small_batches(df.sparkSession)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        own = tokenizer(vocabulary)
+        own, part = tokenizer(vocabulary), TaskContext.get().partitionId()
+        given = np.zeros(seq_len + 1, np.int64)
         for batch in batches:
             ids, begin = own.ids(batch.column("text"), end_id)
             doc, piece, start, length = cut(np.diff(begin), seq_len)
@@ -54,9 +59,15 @@ def token_pieces(df: DataFrame, vocabulary: str, seq_len: int = 2048, end_id: in
             crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + length * 4).tolist(), strict=True)]
             columns = [batch.column("doc_id").cast(pa.int64()).take(pa.array(doc)), pa.array(piece, pa.int32())]
             columns += [pa.array(x, pa.int64()) for x in (start, length, crc)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+            order = np.argsort(length, kind="stable")
+            run = np.searchsorted(length[order], length[order])
+            nth = np.empty(len(length), np.int64)
+            nth[order] = given[length[order]] + np.arange(len(length)) - run
+            given += np.bincount(length, minlength=seq_len + 1)
+            columns += [pa.array(np.full(len(length), part), pa.int32()), pa.array(nth)]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PIECES.split(", ")])
 
-    return df.select("doc_id", "text").mapInArrow(pieces, PIECES)
+    return pick(df, "doc_id", "text").mapInArrow(pieces, PIECES)
 
 
 def plan_bins(
@@ -124,20 +135,42 @@ def plan_bins(
     return out
 
 
-def assign(pieces: DataFrame, plan: list[tuple[int, int, int, int, int, int]], total: int) -> DataFrame:
+def bins_of(plan: list[tuple[int, int, int, int, int, int]]) -> int:
+    return max((first + -(-(hi - lo) // each) for _, lo, hi, each, first, _ in plan), default=0)
+
+
+def tightest(histogram: dict[int, int], tokens: int, score: str) -> tuple[int, int, list]:
+    """Capacities of documents and of attention, least to an eighth, that need no more sequences than ids alone, and the plan.
+
+    Documents first; attention has no choice where one piece fills a sequence.
+    """
+    plan = plan_bins(histogram, tokens, score=score)
+    fewest, total = bins_of(plan), sum(histogram.values())
+    held: dict[int, list[int]] = {}  # documents and attention of the bins from each first one
+    for length, _, _, each, first, _ in plan:
+        own = held.setdefault(first, [0, 0])
+        own[0], own[1] = own[0] + each, own[1] + each * length * length
+    caps = [max((own[k] for own in held.values()), default=1) for k in (0, 1)]
+    least = [-(-total // max(fewest, 1)), max((n * n for n in histogram), default=1)]
+    for k in (0, 1):
+        low = max(least[k], 1)
+        while caps[k] - low > caps[k] // 8:
+            tried = [*caps[:k], (low + caps[k]) // 2, *caps[k + 1 :]]
+            other = plan_bins(histogram, tokens, *tried, score=score)
+            if bins_of(other) <= fewest:
+                plan, caps = other, tried
+            else:
+                low = tried[k] + 1
+    return *caps, plan
+
+
+def assign(pieces: DataFrame, plan: list[tuple[int, int, int, int, int, int]]) -> DataFrame:
     """Give each of ``pieces`` (a settled table) its sequence and its place there."""
     spark = pieces.sparkSession
-    buckets = max(1, -(-total // BUCKET_ROWS))
-    dealt = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy("length", "_b").agg(F.count("*").alias("_n"))
-    bases = counts.select("length", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = (
-        dealt.withColumn("_r", F.row_number().over(inside) - 1)
-        .join(bases, ["length", "_b"])
-        .withColumn("_rank", F.col("_base") + F.col("_r"))
-    )
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = pieces.groupBy("length", "part").agg(F.count("*").alias("_n"))
+    bases = counts.select("length", "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    ranked = pieces.join(bases, ["length", "part"]).withColumn("_rank", F.col("_base") + F.col("nth"))
     table = spark.createDataFrame(plan, PLAN)
     if len(plan) <= PLAN_ROWS:
         table = F.broadcast(table)
@@ -165,12 +198,16 @@ def pack_vectors(
 ) -> DataFrame:
     """Pack all of ``df`` (doc_id, text) under the capacities; one row for each piece.
 
-    ``documents`` and ``attention`` default to what ``seq_len`` ids can use at
-    most, so that only ids bind. A tighter attention capacity must leave room
-    for one full piece.
+    Without ``documents`` and ``attention`` the tightest capacities are taken with
+    which the number of sequences is still that of ids alone (``tightest``), so that
+    sequences hold alike many documents. A given attention capacity must leave
+    room for one full piece.
     """
     pieces = settle(token_pieces(df, vocabulary, seq_len, end_id), "pieces")
     rows = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # seq_len rows at most
     histogram = {r["length"]: r["n"] for r in rows}
-    plan = plan_bins(histogram, seq_len, documents, attention, score)
-    return assign(pieces, plan, sum(histogram.values()))
+    if documents or attention:
+        plan = plan_bins(histogram, seq_len, documents, attention, score)
+    else:
+        *_, plan = tightest(histogram, seq_len, score)
+    return assign(pieces, plan)
