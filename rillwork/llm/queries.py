@@ -31,6 +31,7 @@ def op1_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32("input_ids").alias("row_crc32"),
         "cu_seqlens",
         "position_resets",
+        "resets",
         "doc_ids",
         "pieces",
     )

@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from rillwork.llm.common import fresh_path, small_batches
+from rillwork.llm.common import fresh_path, pick, small_batches
 from rillwork.llm.tokens import tokenizer
 from rillwork.llm.words import gather
 
 SCHEMA = (
     "sequence_id long, n_tokens int, input_ids binary, cu_seqlens array<int>, position_resets array<int>, "
-    "doc_ids array<long>, pieces array<int>, starts array<long>"
+    "resets array<int>, doc_ids array<long>, pieces array<int>, starts array<long>"
 )
 
 
@@ -96,7 +96,8 @@ def pack_tokens(
 
     input_ids: ``seq_len`` little-endian unsigned ids, 16-bit if the vocabulary
     allows it, zeros behind n_tokens; cu_seqlens: ends of the segments, from 0;
-    position_resets: the place in its document at which each segment goes on.
+    resets: the places in the row at which position ids start from 0 again, one for
+    each segment; position_resets: the place in its document at which each goes on.
     """
     small_batches(df.sparkSession)
 
@@ -123,6 +124,7 @@ def pack_tokens(
                     out["input_ids"].append(line.tobytes())
                     out["cu_seqlens"].append(np.concatenate([[0], np.cumsum(length[row])]))
                     out["position_resets"].append(start[row])
+                    out["resets"].append(out["cu_seqlens"][-1][:-1])
                     out["doc_ids"].append([docs[k] for k in row])
                     out["pieces"].append(piece[row])
                     out["starts"].append(start[row])
@@ -142,7 +144,7 @@ def pack_tokens(
         if held:
             yield from close()
 
-    return df.select("doc_id", "text").mapInArrow(pack, SCHEMA)
+    return pick(df, "doc_id", "text").mapInArrow(pack, SCHEMA)
 
 
 ARROW = pa.schema(
@@ -152,6 +154,7 @@ ARROW = pa.schema(
         ("input_ids", pa.binary()),
         ("cu_seqlens", pa.list_(pa.int32())),
         ("position_resets", pa.list_(pa.int32())),
+        ("resets", pa.list_(pa.int32())),
         ("doc_ids", pa.list_(pa.int64())),
         ("pieces", pa.list_(pa.int32())),
         ("starts", pa.list_(pa.int64())),
