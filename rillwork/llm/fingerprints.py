@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import settle, shuffle_partitions, small_batches, text_or_empty
+from rillwork.llm.common import pick, settle, shuffle_partitions, small_batches, text_or_empty
 from rillwork.llm.words import mix, split_words, windows
 
 LANES = 128
@@ -163,7 +163,8 @@ def fingerprints(df: DataFrame) -> DataFrame:
             yield _batch([(ids[0], *[None] * 6, 1, part, texts[0])], STAGED)
 
     ranged = (
-        df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+        pick(df, "doc_id", "text")
+        .select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
         .repartitionByRange(shuffle_partitions(spark), "doc_id")
         .sortWithinPartitions("doc_id", "text")
     )
