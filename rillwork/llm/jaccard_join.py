@@ -7,8 +7,10 @@ last that many documents have, by counters over all data. The join goes:
 
 1. equal sets are put together by their digests;
 2. documents meet under each shingle of their prefixes; of those under one
-   shingle, each is compared with the smallest, and verified links are joined
-   to components. That settles groups of near copies without all their pairs;
+   shingle, each is compared with the one whose prefix is the most common by the
+   counters, and verified links are joined to components. In a group of near
+   copies that is the one with the fewest shingles of its own, which is near most
+   others whatever the ids are, so such groups are settled without all their pairs;
 3. under shingles where several components still meet, documents are laid out
    in tiles: a tile holds one band of set sizes and the next, and at most
    TILE rows of each side. Within a tile, pairs of different components are
@@ -55,7 +57,7 @@ COUNTERS = 1 << 20
 COUNTER_PARTS = 64
 #: Rows of one side of a tile.
 TILE = 512
-SETS = "doc_id long, n long, d1 long, d2 long, prefix array<long>, bitmap binary"
+SETS = "doc_id long, n long, d1 long, d2 long, prefix array<long>, bitmap binary, weight long"
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +141,10 @@ def common_counters(df: DataFrame) -> np.ndarray:
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """Of each row its set's size and digest; for the first row of a set in a task also prefix and bitmap."""
+    """Of each row its set's size and digest; for the first row of a set in a task also prefix, bitmap and weight.
+
+    The weight is the sum of the counters of the prefix.
+    """
     spark = df.sparkSession
     # COUNTERS numbers; shingles in the order of their counters: rare ones first, common ones last
     usual = spark.sparkContext.broadcast(np.minimum(common_counters(df), 2**32 - 1).astype(np.uint32))
@@ -156,19 +161,21 @@ def describe(df: DataFrame) -> DataFrame:
             for i, doc_id in enumerate(ids):
                 own = hashes[begin[i] : begin[i + 1]]
                 digest = int(own.sum(dtype=np.uint64)), int(second[begin[i] : begin[i + 1]].sum(dtype=np.uint64))
-                prefix = bits = None
+                prefix = bits = weight = None
                 if len(own) and doc_id is not None and digest not in seen:
                     if len(seen) > 50_000:
                         seen.clear()
                     seen.add(digest)
-                    rank = np.argsort(often[begin[i] : begin[i + 1]], kind="stable")
-                    prefix = own[rank[: prefix_length(len(own))]].view(np.int64)
+                    counts = often[begin[i] : begin[i + 1]]
+                    rank = np.argsort(counts, kind="stable")[: prefix_length(len(own))]
+                    prefix, weight = own[rank].view(np.int64), int(counts[rank].sum(dtype=np.int64))
                     bits = bitmap(own)
-                for name, value in zip(out, (doc_id, len(own), *digest, prefix, bits), strict=True):
+                for name, value in zip(out, (doc_id, len(own), *digest, prefix, bits, weight), strict=True):
                     out[name].append(value)
             columns = [pa.array(out["doc_id"], pa.int64()), pa.array(out["n"], pa.int64())]
             columns += [pa.array(np.array(out[k], np.uint64).view(np.int64)) for k in ("d1", "d2")]
             columns += [pa.array(out["prefix"], pa.list_(pa.int64())), pa.array(out["bitmap"], pa.binary())]
+            columns.append(pa.array(out["weight"], pa.int64()))
             yield pa.RecordBatch.from_arrays(columns, list(out))
 
     return df.mapInArrow(sets, SETS)
@@ -305,9 +312,10 @@ def _components(df: DataFrame) -> DataFrame:
     info = own.filter("prefix is not null").select(*digest, "bitmap").dropDuplicates(digest).join(first, digest)
     info = settle(info.select(F.col("rep").alias("doc_id"), "n", "bitmap"), "signatures")
 
-    tokens = own.filter("prefix is not null").select("doc_id", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    meets = settle(tokens.join(settle(shared.select("token", "lo"), "shared"), "token"), "meets")
+    tokens = own.filter("prefix is not null").select("doc_id", "weight", F.explode("prefix").alias("token"))
+    most = F.min(F.struct((-F.col("weight")).alias("w"), "doc_id"))["doc_id"]
+    shared = tokens.groupBy("token").agg(most.alias("lo"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y")
+    meets = settle(tokens.drop("weight").join(settle(shared.select("token", "lo"), "shared"), "token"), "meets")
     as_rep = member.toDF("doc_id", "node")
     stars = meets.select("lo", "doc_id").distinct().join(as_rep, "doc_id")
     stars = stars.join(member.toDF("lo", "hub"), "lo").filter("hub <> node")
@@ -315,7 +323,7 @@ def _components(df: DataFrame) -> DataFrame:
     links1 = settle(verified(df, pairs, info), "links")
     joined = settle(components(links1), "components")
 
-    # the smallest under each shingle has met all others there
+    # the hub under each shingle has met all others there
     under = meets.join(as_rep, "doc_id").join(member.toDF("lo", "hub"), "lo").filter("hub <> node")
     under = under.select("token", "node").distinct()
     known = joined.select("node", "component")
