@@ -1,7 +1,10 @@
 import pytest
 
 LONG = " ".join(f"wort{k % 997} {k}" for k in range(30_000))
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, token string, component string"
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, score string, token string, component string, "
+    "_spans string, _clean string, _lang_pred string, _lang_score string, spans string, key string, c1 string, `a.b` string"
+)
 #: Complementary words whose polynomial hashes modulo 2**64 are equal, whatever the base.
 MORSE = ["".join("ab"[(k.bit_count() + turn) % 2] for k in range(1024)) for turn in (0, 1)]
 SAME = " ".join(f"same{k}" for k in range(34))
@@ -28,8 +31,8 @@ TEXTS = [
 
 @pytest.fixture(scope="session")
 def edge_rows():
-    rows = [(k, t, None if k % 3 else "en", None if k % 2 else "src", len(t or ""), "x", "y", "z") for k, t in enumerate(TEXTS)]
-    return [*rows, rows[9], (None, "a row without an id", "en", None, 19, None, None, None)]
+    rows = [(k, t, None if k % 3 else "en", None if k % 2 else "src", len(t or ""), *"xyzabcdefgh") for k, t in enumerate(TEXTS)]
+    return [*rows, rows[9], (None, "a row without an id", "en", None, 19, *[None] * 11)]
 
 
 @pytest.fixture(scope="session")

@@ -1,9 +1,13 @@
+import glob
 import importlib
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillwork.llm import decontaminate, jaccard_join, queries, vector_packing
+from rillwork.llm.common import shared_dir
 from rillwork.llm.tokens import default_vocabulary
 
 
@@ -19,6 +23,49 @@ def test_stages(spark, small, edges, empty):
         assert (last.count() == 0) == (df is empty)
 
 
+@pytest.fixture
+def exact_names(spark):
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    yield
+    spark.conf.unset("spark.sql.caseSensitive")
+
+
+def test_columns_come_through(spark, small, edge_rows, edges, exact_names):
+    """Further columns keep their values, one that differs from text by case only as well."""
+    schema = T.StructType([*edges.schema.fields, T.StructField("Text", T.StringType())])
+    rows = [(*r, "T") for r in edge_rows]
+    df = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, df, small)
+        assert kept.columns == df.columns
+        for r in kept.collect():
+            own = tuple(r)
+            assert own[5:] in {x[5:] for x in rows if x[0] == own[0]}
+
+
+def test_rows_that_share_an_id(spark, small):
+    """Rows of one id are told apart by their texts; rows without one are judged too."""
+    item = spark.read.parquet(f"{small}/benchmark.parquet").first().text
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (2, a), (None, b), (None, c), (None, c), (3, c + " more"), (1, a), (None, None), (4, ""), (4, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, small).collect()
+    want = [(None, None), (1, a), (1, b), (3, c + " more"), (4, "")]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(want, key=str)
+    rows = [(5, a), (5, item), (None, item), (None, b)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], df.schema)
+    kept = corpus_pipeline.decontaminate_benchmark(spark, df, small).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(5, a), (None, b)], key=str)
+
+
+def test_nothing_is_left_behind(spark, small):
+    """What a run stages is gone when it ends, but for its result."""
+    before = set(glob.glob(shared_dir(spark).removeprefix("file://") + "/*"))
+    rows = corpus_pipeline.run(spark, small)
+    left = set(glob.glob(shared_dir(spark).removeprefix("file://") + "/*")) - before
+    assert len(left) == 1 and "pipeline-result" in left.pop() and rows.count()
+
+
 def test_language_stage(spark, small, docs):
     kept = corpus_pipeline.identify_language(spark, docs, small)
     assert kept.count() == docs.count()
