@@ -31,16 +31,32 @@ def decode(packets: DataFrame, *streams: int, delay: int = 0, flush: bool = True
 
     Only the given streams are decoded. A decoder that holds back ``delay``
     frames to put them in order loses the last ones unless it is flushed.
+
+    Packets are dealt by ranges of (source, stream, pts), so a long stream lies in
+    many tasks; a table of counts, a row for each task and stream, says how many
+    frames come before each task's.
     """
     own = packets.filter(F.col("stream_index").isin(*streams)) if streams else packets
-    keys = Window.partitionBy("source_id", "stream_index")
-    frames = own.select(
-        "source_id",
-        "stream_index",
-        (F.row_number().over(keys.orderBy("pts", "packet_no")) - 1).cast("long").alias("frame_no"),
-        "pts",
-        F.count("*").over(keys).alias("_n"),
+    place, stream = ["source_id", "stream_index", "pts", "packet_no"], ["source_id", "stream_index"]
+    tasks = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = own.select(*place).repartitionByRange(tasks, *place).sortWithinPartitions(*place)
+    dealt = dealt.withColumn("_m", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_m", 33))
+    counts = dealt.groupBy(*stream, "_task").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    whole = Window.partitionBy(*stream)
+    before = F.sum("_n").over(whole.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select(
+        F.col("source_id").alias("_source"),
+        F.col("stream_index").alias("_stream"),
+        F.col("_task").alias("_of"),
+        (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_base"),
+        F.sum("_n").over(whole).alias("_total"),
     )
+    same = [
+        F.col("_task") == F.col("_of"),
+        F.col("source_id").eqNullSafe(F.col("_source")),
+        F.col("stream_index").eqNullSafe(F.col("_stream")),
+    ]
+    frames = dealt.join(bases, same).withColumn("frame_no", F.col("_m") + F.col("_base"))
     if not flush:
-        frames = frames.filter(F.col("frame_no") < F.col("_n") - delay)
-    return frames.drop("_n")
+        frames = frames.filter(F.col("frame_no") < F.col("_total") - delay)
+    return frames.select(*stream, "frame_no", "pts")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.functions import utf8_or_null
@@ -13,17 +13,18 @@ from rillwork.functions import utf8_or_null
 def take_while(df: DataFrame, ok: Column, order: str, *keys: str) -> DataFrame:
     """Rows of each source before the first for which ``ok`` is not true.
 
-    The stop is one number for each source, so sources are aggregated with
-    partial sums on the way and no source is held in order by one task.
+    The stop is one number for each source that has one: it is aggregated with
+    partial minima on the way and joined, so no source is held by one task.
     """
-    marked = df.withColumn("_fail", F.when(~F.coalesce(ok, F.lit(False)), F.col(order)))
+    failed = df.filter(~F.coalesce(ok, F.lit(False)))
     if not keys:
-        stops = marked.agg(F.min("_fail").alias("_stop"))
-        joined = marked.crossJoin(F.broadcast(stops))  # one row
+        stops = failed.agg(F.min(order).alias("_stop"))
+        joined = df.crossJoin(F.broadcast(stops))  # one row
     else:
-        window = Window.partitionBy(*keys)
-        joined = marked.withColumn("_stop", F.min("_fail").over(window))
-    return joined.filter(F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))).drop("_fail", "_stop")
+        stops = failed.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.min(order).alias("_stop"))
+        same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+        joined = df.join(stops, same, "left").drop(*[f"_of_{k}" for k in keys])
+    return joined.filter(F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))).drop("_stop")
 
 
 def bytes_to_text(df: DataFrame, *keys: str, mode: str = "strict") -> DataFrame:
@@ -38,10 +39,7 @@ def bytes_to_text(df: DataFrame, *keys: str, mode: str = "strict") -> DataFrame:
         return take_while(texts, F.col("text").isNotNull(), "seq", *keys)
     if mode != "whole":
         raise ValueError(f"no such mode: {mode}")
-    hexed = F.transform(
-        F.array_sort(F.collect_list(F.struct("seq", F.hex("chunk").alias("h")))), lambda x: x["h"]
-    )
-    whole = df.groupBy(*keys).agg(F.unhex(F.array_join(hexed, "")).alias("_data"))
+    whole = df.groupBy(*keys).agg(F.expr("listagg(chunk) within group (order by seq)").alias("_data"))
     texts = whole.select(*keys, F.lit(0).cast("long").alias("seq"), utf8_or_null(F.col("_data")).alias("text"))
     return texts.filter(F.col("text").isNotNull())
 
