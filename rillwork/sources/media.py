@@ -246,7 +246,7 @@ def media_streams(spark: SparkSession, path: str) -> DataFrame:
 
 
 class MediaSource(DataSource):
-    """``spark.read.format("rillwork_media").option("uris", "a,b").option("what", "packets").load()``."""
+    """After ``register_media``: ``spark.read.format("rillwork_media").option("uris", "a,b").option("what", "packets").load()``."""
 
     @classmethod
     def name(cls) -> str:
@@ -259,6 +259,55 @@ class MediaSource(DataSource):
         return MediaReader(self.options)
 
 
+def avi_bytes(streams: list[tuple[bytes, bytes]], packets: list[tuple[int, bytes]]) -> bytes:
+    """An AVI file of ``streams`` (type, handler) and their packets (stream, payload) in order, one tick each."""
+
+    def chunk(name: bytes, data: bytes) -> bytes:
+        return name + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
+
+    def head(media: bytes, handler: bytes) -> bytes:
+        return chunk(b"LIST", b"strl" + chunk(b"strh", media + handler + bytes(12) + struct.pack("<II", 1, 1) + bytes(28)))
+
+    ends = {b"vids": b"dc", b"auds": b"wb"}
+    movi = b"".join(chunk(b"%02d" % k + ends.get(streams[k][0], b"tx"), data) for k, data in packets)
+    body = b"AVI " + chunk(b"LIST", b"hdrl" + b"".join(head(*x) for x in streams)) + chunk(b"LIST", b"movi" + movi)
+    return chunk(b"RIFF", body)
+
+
+def write_avi(packets: DataFrame, folder: str, streams: list[tuple[bytes, bytes]]) -> None:
+    """Write ``packets`` (part, packet_no, stream_index, payload) as AVI files, one for each part, which a task holds at once."""
+    ship(packets.sparkSession)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root)
+        part, held = None, []
+
+        def close() -> None:
+            with store.open_output_stream(f"{root}/part-{part:08d}.avi") as out:
+                out.write(avi_bytes(streams, held))
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["part"] != part:
+                    if held:
+                        close()
+                    part, held = r["part"], []
+                held.append((r["stream_index"], r["payload"]))
+        if held:
+            close()
+        yield pa.RecordBatch.from_pydict({"parts": pa.array([], pa.int64())})
+
+    own = packets.select("part", "packet_no", "stream_index", "payload").repartition("part").sortWithinPartitions("part", "packet_no")
+    own.mapInArrow(write, "parts long").write.format("noop").mode("overwrite").save()
+
+
+def register_media(spark: SparkSession) -> None:
+    """Make ``rillwork_media`` known to the session, and this package to its workers."""
+    ship(spark)
+    spark.dataSource.register(MediaSource)
+
+
 class MediaReader(DataSourceReader):
     def __init__(self, options):
         self.uris = [u for u in options.get("uris", "").split(",") if u]

@@ -7,12 +7,14 @@ import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rillwork.schemas import PACKET
+from rillwork.ship import ship
 from rillwork.sources.basic import DEFAULT_TEXT
 
 FRAMES = "source_id string, stream_index int, frame_no long, pts long"
@@ -49,6 +51,9 @@ class VectorReader(SimpleDataSourceStreamReader):
 
 
 def vector_stream(spark: SparkSession, texts: list[str]) -> DataFrame:
+    ship(spark)
+    # the process that plans a stream does not look into shipped files, so the classes travel whole
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(VectorStream)
     return spark.readStream.format("rillwork_vector").option("texts", json.dumps(texts)).load()
 
