@@ -74,6 +74,13 @@ class InvalidDatagram(PipelineError):
     kind = "ReceivedInvalidDatagramFromParent"
 
 
+class SendError(PipelineError):
+    """A datum could not be handed on; the detail says why."""
+
+    def __init__(self, detail: str):
+        Exception.__init__(self, f"SendError: {detail}")
+
+
 class MediaError(PipelineError):
     """``media_kind`` is the error's name in MEDIA_MESSAGES."""
 

@@ -47,7 +47,18 @@ class Pipeline:
         self._source = self.head.read(self.spark)
 
     def close(self) -> None:
-        self._source = None
+        """Forget the source and let every stage clean up, the last of each branch first. Once is enough."""
+        if self._source is not None:
+            self._source = None
+            self._clean(self.head)
+
+    def _clean(self, stage: Stage) -> None:
+        for child in stage.children.values():
+            self._clean(child)
+        try:
+            stage.cleanup()
+        except Exception as e:  # the other stages are to clean up too
+            stage.log.error("Failed to drop: %s", e)
 
     def _pass(self, stage: Stage, df: DataFrame) -> None:
         if not stage.children:

@@ -6,13 +6,15 @@ replaces what was behind it. New operators are ``Transform`` with a function.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork import operators, sources
-from rillwork.errors import InvalidSinkType, NoSinkElement
+from rillwork.errors import InvalidSinkType, MediaError, NoSinkElement
 from rillwork.plans.ports import AUDIO_IN, BYTES_IN, TEXT_IN, VIDEO_IN, Format, Port, compatible
 from rillwork.sources.basic import DEFAULT_TEXT
 
@@ -22,6 +24,15 @@ class Stage:
 
     taken: Port | None = None
     order = "seq"
+    log = logging.getLogger("rillwork.Stage")
+    #: all kinds of stages by name, the user's too
+    kinds: ClassVar[dict[str, type[Stage]]] = {}
+
+    def __init_subclass__(cls, **options) -> None:
+        """A new kind of stage is registered and gets a logger of its own."""
+        super().__init_subclass__(**options)
+        Stage.kinds[cls.__name__] = cls
+        cls.log = logging.getLogger(f"rillwork.{cls.__name__}")
 
     def __init__(self) -> None:
         self.outputs: dict[str, Port] = {}
@@ -55,6 +66,9 @@ class Stage:
         """The place at which the stage stops on ``df``, if it does."""
         return None
 
+    def cleanup(self) -> None:
+        """What is to be done when the pipeline closes."""
+
 
 class TextSource(Stage):
     """One text, again and again; ``n`` times in a batch run."""
@@ -132,8 +146,12 @@ class BytesToText(Stage):
         return wrong.agg(F.min("seq")).first()[0]
 
 
+# Codecs whose packets this engine puts in order, besides all that begin with pcm_.
+CODECS = ("avc1", "hvc1", "hev1", "mp4a", "mp4v", "Opus", "H264", "MJPG", "DIB", "text")
+
+
 class Decoder(Stage):
-    """Packets of one stream as frames; ``media`` is video or audio."""
+    """Packets of one stream as frames; ``media`` is video or audio. ``of`` looks the stream's codec up first."""
 
     order = "frame_no"
 
@@ -144,6 +162,17 @@ class Decoder(Stage):
         self.outputs = {"out": TEXT_IN}
         self.frames: list[Row] = []
 
+    @classmethod
+    def of(cls, streams: DataFrame, stream_index: int, **options) -> Decoder:
+        """The decoder of a stream of ``streams`` (schemas.STREAM); FailedToFindDecoder if its codec is not known."""
+        found = streams.filter(F.col("stream_index") == stream_index).select("media_type", "codec_id").first()
+        if found is None:
+            raise MediaError("FailedToFindBestStream", f"no stream {stream_index}")
+        codec = found["codec_id"] or ""
+        if found["media_type"] not in ("video", "audio") or not (codec.startswith("pcm_") or codec in CODECS):
+            raise MediaError("FailedToFindDecoder", codec)
+        return cls(stream_index, found["media_type"], **options)
+
     def apply(self, df: DataFrame) -> DataFrame:
         frames = operators.decode(df, self.stream_index, delay=self.delay, flush=self.flush)
         return frames.select("*", F.col("frame_no").alias("seq"), F.concat(F.lit("Received frame. PTS: "), F.col("pts")).alias("text"))
