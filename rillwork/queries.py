@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 from rillwork import functions as fn
 from rillwork import operators, sources
-from rillwork.errors import MEDIA_MESSAGES, PIPELINE_MESSAGES
-from rillwork.plans.ports import INPUTS, OUTPUTS
+from rillwork.errors import MEDIA_MESSAGES, PIPELINE_MESSAGES, MediaError, PipelineFinished
+from rillwork.plans import Pipeline, TestSink, TestSource, compatible
+from rillwork.plans.ports import INPUTS, OUTPUTS, TEXT_IN
+from rillwork.ship import shared_folder
 
 HELLO = "Hello, World!\n"
 VIDEO, AUDIO = 0, 1
 STEPS = 15
+#: Packets of one written file.
+FILE_PACKETS = 4096
 THRESHOLD = 20.0
 
 
@@ -43,10 +47,49 @@ def text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.constant_text(spark, 3, HELLO)
 
 
-def vector_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "events").orderBy("event_id").limit(100)  # the length of the vector
-    seq = F.row_number().over(Window.orderBy("event_id")) - 1
-    return first.select(seq.cast("long").alias("seq"), F.lit("text").alias("kind"), F.col("event_type").alias("text"))
+def vector_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events replayed in order as a vector of texts."""
+    return sources.vector_rows(table(spark, sf_dir, "events"), F.lit("text"), F.col("event_type"), "event_id")
+
+
+def region_source(spark: SparkSession, sf_dir: str) -> TestSource:
+    """The names of the regions, five whatever the scale, as a vector."""
+    names = [r[0] for r in table(spark, sf_dir, "region").orderBy("r_regionkey").select("r_name").collect()]
+    return TestSource(TEXT_IN, [("text", x) for x in names])
+
+
+def pipeline_iter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each step of a pipeline returns, and what its sink has counted by then."""
+    source, sink = region_source(spark, sf_dir), TestSink(TEXT_IN, lambda n, row: True)
+    rows = []
+    with Pipeline(source.link(sink), spark) as pipeline:
+        while not rows or rows[-1][1] in ("IterFin", "Finished"):
+            try:
+                status = pipeline.iter().value
+            except PipelineFinished as e:
+                status = e.kind
+            rows.append((len(rows), status, sink.data_count))
+    return spark.createDataFrame(rows, "step long, status string, data_count long")
+
+
+def callback_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a callback is given until it returns false."""
+    source, seen = region_source(spark, sf_dir), []
+    sink = TestSink(TEXT_IN, lambda n, row: seen.append((n, row["text"])) or n < 2)
+    with Pipeline(source.link(sink), spark) as pipeline:
+        pipeline.run_all()
+    return spark.createDataFrame(seen, "n long, text string")
+
+
+def media_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as AVI files of FILE_PACKETS packets at most, and the packets that are read from these."""
+    own = packets(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("packet_no"), "props"), "packet_no")
+    part = F.floor(F.col("packet_no") / FILE_PACKETS).cast("long").alias("part")
+    folder = shared_folder(spark, "media")
+    kinds = [(b"vids", b"H264"), (b"auds", b"Opus"), (b"txts", b"text")]
+    sources.write_avi(own.select(part, "packet_no", "stream_index", F.encode("props", "UTF-8").alias("payload")), folder, kinds)
+    number = F.regexp_extract("source_id", r"part-(\d+)\.avi", 1).cast("long").alias("part")
+    return sources.media_packets(spark, folder).select(number, "packet_no", "stream_index", "pts", F.md5("payload").alias("md5"))
 
 
 def file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,19 +176,14 @@ def packet_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outputs = spark.createDataFrame(
-        [(k, p.kind.value, p.format.value) for k, p in OUTPUTS.items()], "upstream string, wants_type string, wants_format string"
-    )
-    inputs = spark.createDataFrame(
-        [(k, p.kind.value, p.format.value) for k, p in INPUTS.items()], "sink string, type string, format string"
-    )
-    fits = (F.col("wants_type") == F.col("type")) & (F.col("wants_format") == F.col("format"))
-    return outputs.crossJoin(inputs).select("upstream", "sink", fits.alias("links"))  # 7 by 4 rows
+    """Every output with every input, as the check at the time of linking finds them."""
+    rows = [(u, d, compatible(out, taken)) for u, out in OUTPUTS.items() for d, taken in INPUTS.items()]
+    return spark.createDataFrame(rows, "upstream string, sink string, links boolean")
 
 
 def error_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("pipeline", *x) for x in PIPELINE_MESSAGES.items()] + [("media", *x) for x in MEDIA_MESSAGES.items()]
-    rows += [("wrapped", k, f"AVError: {v}") for k, v in MEDIA_MESSAGES.items()]
+    rows += [("wrapped", k, str(MediaError(k))) for k in MEDIA_MESSAGES]
     return spark.createDataFrame(rows, "family string, kind string, message string")
 
 
@@ -162,7 +200,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_source,
-        vector_replay,
+        vector_events,
+        pipeline_iter,
+        callback_sink,
+        media_round_trip,
         file_chunks,
         bytes2text_strict,
         bytes2text_whole,
@@ -206,15 +247,25 @@ _PACKETS = """
 _ROUTE = "CASE stream_index WHEN 1 THEN 'audio' WHEN 0 THEN 'video' END AS route"
 
 
-def _values(rows: list[tuple[str, ...]]) -> str:
-    return ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in rows)
-
-
 ORACLE = {
     "text_source": "SELECT range AS seq, 'Hello, World!' || chr(10) AS text FROM range(3)",
-    "vector_replay": """
-        SELECT row_number() OVER (ORDER BY event_id) - 1 AS seq, 'text' AS kind, event_type AS text
-        FROM (SELECT * FROM events ORDER BY event_id LIMIT 100)
+    "vector_events": """
+        SELECT row_number() OVER (ORDER BY event_id) - 1 AS seq, 'text' AS kind, event_type AS text FROM events
+    """,
+    "pipeline_iter": """
+        SELECT r - 1 AS step, 'IterFin' AS status, r AS data_count FROM (SELECT row_number() OVER (ORDER BY r_regionkey) AS r FROM region)
+        UNION ALL SELECT count(*), 'Finished', count(*) FROM region
+        UNION ALL SELECT count(*) + 1, 'MessageSinkFailed', count(*) FROM region
+    """,
+    "callback_sink": """
+        SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS n, r_name AS text FROM region QUALIFY n <= 2
+    """,
+    "media_round_trip": f"""
+        WITH {_PACKETS}
+        SELECT packet_no // 4096 AS part, row_number() OVER (PARTITION BY packet_no // 4096 ORDER BY packet_no) - 1 AS packet_no,
+               stream_index, row_number() OVER (PARTITION BY packet_no // 4096, stream_index ORDER BY packet_no) - 1 AS pts,
+               md5(props) AS md5
+        FROM p JOIN (SELECT event_id AS packet_no, props FROM events) USING (packet_no)
     """,
     "file_chunks": f"WITH {_CHUNKS} SELECT doc_id, seq, CAST(octet_length(chunk) AS BIGINT) AS n_bytes, md5(chunk) AS md5 FROM c",
     "bytes2text_strict": f"WITH {_CHUNKS} SELECT doc_id, seq, length(txt) AS n_chars, md5(txt) AS md5 FROM a",
@@ -268,18 +319,49 @@ ORACLE = {
         SELECT stream_index, count(*) AS frames, max(pts) AS last_pts FROM f WHERE back > 2 GROUP BY stream_index
     """,
     "packet_projection": f"WITH {_PACKETS} SELECT packet_no, stream_index, pts FROM p WHERE stream_index = 1",
-    "link_matrix": f"""
-        WITH o(upstream, t, f) AS (VALUES {_values([(k, p.kind.value, p.format.value) for k, p in OUTPUTS.items()])}),
-             i(sink, t, f) AS (VALUES {_values([(k, p.kind.value, p.format.value) for k, p in INPUTS.items()])})
-        SELECT upstream, sink, o.t = i.t AND o.f = i.f AS links FROM o, i
+    # Literal values, so that the tables behind the queries are checked too.
+    "link_matrix": """
+        WITH o(upstream) AS (VALUES ('TextTestSrc'), ('FileSrc'), ('Bytes2Text'), ('DemuxSrc.video'), ('DemuxSrc.audio'),
+                                    ('VideoDecoder'), ('AudioDecoder')),
+             i(sink) AS (VALUES ('StdoutLog'), ('Bytes2Text'), ('VideoDecoder'), ('AudioDecoder'))
+        SELECT upstream, sink, (upstream, sink) IN (
+            ('TextTestSrc', 'StdoutLog'), ('FileSrc', 'Bytes2Text'), ('Bytes2Text', 'StdoutLog'),
+            ('DemuxSrc.video', 'VideoDecoder'), ('DemuxSrc.audio', 'AudioDecoder'),
+            ('VideoDecoder', 'StdoutLog'), ('AudioDecoder', 'StdoutLog')
+        ) AS links FROM o, i
     """,
-    "error_text": f"""
+    "error_text": """
         WITH e(family, kind, message) AS (
-            VALUES {_values([("pipeline", *x) for x in PIPELINE_MESSAGES.items()])},
-                   {_values([("media", *x) for x in MEDIA_MESSAGES.items()])}
+            VALUES ('pipeline', 'NoThreadHandle', 'No thread handle'),
+                   ('pipeline', 'FailedToJoinThread', 'Failed to join thread'),
+                   ('pipeline', 'NoSinkMessageSender', 'No sink message sender'),
+                   ('pipeline', 'NoSinkMessageReceiver', 'No sink message receiver'),
+                   ('pipeline', 'MessageSinkFailed', 'Message sink failed'),
+                   ('pipeline', 'NoSinkElement', 'No sink element'),
+                   ('pipeline', 'PipelineNotReady', 'Pipeline is not ready'),
+                   ('pipeline', 'NoSinkDatagramSender', 'No sink datagram sender'),
+                   ('pipeline', 'FailedToRecvFromParent', 'Failed to recv from parent'),
+                   ('pipeline', 'ReceivedInvalidDatagramFromParent', 'Received invalid datagram from parent'),
+                   ('pipeline', 'ReceivedInvalidDatagramFromSink', 'Received invalid datagram from sink'),
+                   ('pipeline', 'ReceiveFromSinkFailed', 'Receive from sink failed'),
+                   ('pipeline', 'MessageParentFailed', 'Message parent failed'),
+                   ('pipeline', 'NoParentMessageSender', 'No parent message sender'),
+                   ('pipeline', 'InvalidSinkType', 'Invalid sink type'),
+                   ('pipeline', 'FailedToSendDatagramToSink', 'Failed to send datagram to sink'),
+                   ('media', 'FailedToOpenInput', 'Failed to open input'),
+                   ('media', 'FailedToFindBestStream', 'Failed to find best stream'),
+                   ('media', 'FailedToReadFrame', 'Failed to read frame'),
+                   ('media', 'FailedToFindDecoder', 'Failed to find decoder'),
+                   ('media', 'FailedToCreateDecoder', 'Failed to create decoder'),
+                   ('media', 'FailedToCopyCodecParamsToDecoder', 'Failed to copy codec params to decoder'),
+                   ('media', 'FailedToOpenCodec', 'Failed to open codec'),
+                   ('media', 'FailedToAllocFrame', 'Failed to alloc frame'),
+                   ('media', 'FailedToAllocPacket', 'Failed to alloc packet'),
+                   ('media', 'FailedToSendPacketToDecoder', 'Failed to send packet to decoder'),
+                   ('media', 'FailedToReceiveDecodedFrame', 'Failed to receive decoded frame')
         )
         SELECT * FROM e UNION ALL SELECT 'wrapped', kind, 'AVError: ' || message FROM e WHERE family = 'media'
     """,
     "resource_uri": "SELECT page_id, 'file:' || url AS uri FROM pages",
-    "codec_names": f"SELECT * FROM (VALUES {_values(list(fn.CODECS.items()))}) AS c(codec, library)",
+    "codec_names": "SELECT * FROM (VALUES ('H264', 'libx264'), ('H265', 'libx265'), ('Opus', 'libopus')) AS c(codec, library)",
 }
