@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from rillwork.ship import ship
 
-#: Rows of one Arrow batch handed to Python. Texts may be long, so it is low.
-BATCH_ROWS = 128
+#: Rows and bytes of one Arrow batch handed to Python, the last row's bytes aside. What the work on a batch takes is some
+#: 40 times its text, so both are low.
+BATCH_ROWS, BATCH_BYTES = 128, 1 << 20
 
 #: A word, as the contracts define it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -98,9 +99,10 @@ def settle(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Before Python runs on executors: give them this package, and bound what one Arrow batch holds."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        own = spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("bB")
+        if not own.isdigit() or not 0 < int(own) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def key_places(keys: np.ndarray) -> np.ndarray:

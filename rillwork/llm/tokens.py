@@ -28,7 +28,7 @@ import tiktoken
 from rillwork.llm.words import gather, split_words
 
 #: Entries after which a worker forgets the words it has seen.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _LOADED: dict[str, WordTokenizer] = {}
