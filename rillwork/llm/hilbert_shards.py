@@ -9,7 +9,7 @@ The law is ``rows``: shard counts differ by one at most, whatever the sizes.
 
 Cases: a null text has size 1 and the CRC of no bytes; a null in a dimension
 counts as its lowest cell; equal rows lie side by side; an empty table gives an
-empty table; columns of other names are ignored.
+empty table; columns of other names are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import settle, shuffle_partitions, text_or_empty
+from rillwork.llm.common import numbered, place_of, settle, shuffle_partitions
 
 
 def hilbert_index(cells: list[Column], bits: int) -> Column:
@@ -94,16 +94,21 @@ def hilbert_shards(
     source and language by hash cell, and the size by half powers of two.
     """
     spark, side = df.sparkSession, 1 << bits
-    text = text_or_empty()
+    plain = numbered(df.select("*", *(dimensions or [])))
+    name = lambda column: f"c{place_of(df, column)}"
+    text = F.coalesce(F.col(name("text")), F.lit(""))
     size = (F.octet_length(text) + 1).cast("long")
-    cells = dimensions or [
-        F.coalesce(F.pmod(F.xxhash64("source"), F.lit(side - 1)) + 1, F.lit(0)).cast("long"),
-        F.coalesce(F.pmod(F.xxhash64("lang"), F.lit(side - 1)) + 1, F.lit(0)).cast("long"),
-        F.least(F.floor(F.log2(size.cast("double")) * 2), F.lit(side - 1)).cast("long"),
-    ]
+    if dimensions:
+        cells = [F.col(f"c{len(df.columns) + k}") for k in range(len(dimensions))]
+    else:
+        cells = [
+            F.coalesce(F.pmod(F.xxhash64(name("source")), F.lit(side - 1)) + 1, F.lit(0)).cast("long"),
+            F.coalesce(F.pmod(F.xxhash64(name("lang")), F.lit(side - 1)) + 1, F.lit(0)).cast("long"),
+            F.least(F.floor(F.log2(size.cast("double")) * 2), F.lit(side - 1)).cast("long"),
+        ]
     cells = [F.when(c.isNull(), F.lit(0)).otherwise(c) for c in cells]
-    rows = df.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+    rows = plain.select(
+        F.col(name("doc_id")).cast("long").alias("doc_id"),
         size.alias("size"),
         F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
         hilbert_index(cells, bits).alias("hilbert"),
@@ -150,6 +155,11 @@ def hilbert_shards(
     )
 
 
-def write_shards(dealt: DataFrame, path: str) -> None:
-    """Write dealt rows as one folder for each shard, in curve order within it."""
-    dealt.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(dealt: DataFrame, path: str, tasks: int | None = None) -> None:
+    """Write dealt rows as one folder for each shard, in curve order within each file.
+
+    ``tasks`` of them (the shuffle's number by default) each take one run of the
+    order, so that a large shard is written by many, as files that follow each other.
+    """
+    run = dealt.repartitionByRange(tasks or shuffle_partitions(dealt.sparkSession), "shard", "slot")
+    run.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

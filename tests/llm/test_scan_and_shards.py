@@ -132,8 +132,23 @@ def test_shards(edges, edge_rows, docs, empty):
 
 
 def test_written_shards(spark, docs, tmp_path):
-    hilbert_shards.write_shards(hilbert_shards.hilbert_shards(docs, shards=4), str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 4
+    """A shard is written by several tasks, whose files follow each other in the order of the curve."""
+    hilbert_shards.write_shards(hilbert_shards.hilbert_shards(docs, shards=4), str(tmp_path / "s"), tasks=12)
+    written = spark.read.parquet(str(tmp_path / "s")).withColumn("file", F.input_file_name())
+    assert written.count() == docs.count()
+    for k in range(4):
+        files = written.filter(F.col("shard") == k).groupBy("file").agg(F.min("slot"), F.max("slot"), F.count("*")).collect()
+        runs = sorted(tuple(r)[1:] for r in files)
+        assert len(runs) >= 3 and all(high - low + 1 == n for low, high, n in runs)
+        assert [low for low, _, _ in runs] == [0, *(high + 1 for _, high, _ in runs[:-1])]
+
+
+def test_names_that_differ_by_case(spark):
+    rows = [(k, f"text {k}", "en", "s", "other", -1, "zz") for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, Text string, DOC_ID long, hilbert string")
+    check_shards(hilbert_shards.hilbert_shards(df, shards=4).collect(), [r[:2] for r in rows], 4)
+    dealt = hilbert_shards.hilbert_shards(df, shards=3, bits=4, dimensions=[F.col("hilbert").isNull().cast("long"), F.length("lang")])
+    check_shards(dealt.collect(), [r[:2] for r in rows], 3)
 
 
 def test_long_candidates_and_many_matches(spark):
