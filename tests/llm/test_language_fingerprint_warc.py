@@ -2,7 +2,10 @@ import glob
 import gzip
 import hashlib
 import json
+import math
+import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -55,6 +58,44 @@ def test_softmax_and_grams():
     assert count[row == 0].sum() == 4 + 3 + 2 and not (row == 1).any() and count[row == 2].sum() == 3 + 2 + 1
 
 
+def plain_ftrl(xs, ys, classes, alpha=0.5, beta=1.0, l1=2e-4, l2=1e-4, passes=3):
+    """FTRL-proximal, a coordinate at a time."""
+    z, n = Counter(), Counter()
+
+    def weight(f, k):
+        if abs(z[f, k]) <= l1:
+            return 0.0
+        return -(z[f, k] - math.copysign(l1, z[f, k])) / ((beta + math.sqrt(n[f, k])) / alpha + l2)
+
+    for _ in range(passes):
+        for x, y in zip(xs, ys, strict=True):
+            w = {(f, k): weight(f, k) for f in x for k in range(classes)}
+            odds = [math.exp(sum(v * w[f, k] for f, v in x.items())) for k in range(classes)]
+            for (f, k), own in w.items():
+                g = x[f] * (odds[k] / sum(odds) - (k == y))
+                z[f, k] += g - (math.sqrt(n[f, k] + g * g) - math.sqrt(n[f, k])) / alpha * own
+                n[f, k] += g * g
+    return {key: weight(*key) for key in z}
+
+
+def test_training_equals_a_plain_version():
+    texts = ["the cat and the dog", "der Hund und die Katze", "le chat et le chien", "a dog on the road", "ein Hund am Weg", "un chien sur la route"] * 2
+    labels = ["en", "de", "fr"] * 4
+    rows, feature, count = language_id.features(texts)
+    samples = [(feature[rows == k], count[rows == k]) for k in range(len(texts))]
+    model = language_id.fit(samples, labels)
+    df = Counter(f for own, _ in samples for f in own.tolist())
+    xs, kept = [], [k for k in range(len(texts)) if k % 5]
+    for k in kept:
+        value = {f: (1 + math.log(c)) * (math.log((1 + len(texts)) / (1 + df[f])) + 1) for f, c in zip(*(a.tolist() for a in samples[k]), strict=True)}
+        norm = math.sqrt(sum(v * v for v in value.values()))
+        xs.append({f: v / norm for f, v in value.items()})
+    want = np.zeros_like(model.weights)
+    for (f, c), w in plain_ftrl(xs, [["de", "en", "fr"].index(labels[k]) for k in kept], 3).items():
+        want[f, c] = w
+    assert model.languages == ["de", "en", "fr"] and np.allclose(model.weights, want, atol=1e-9) and want.any()
+
+
 def of(*texts):
     return fingerprints.fingerprints_of([fingerprints.paragraphs(t) for t in texts])
 
@@ -86,6 +127,34 @@ def test_likeness(spark, docs):
     assert np.mean([r.near_edited for r in rows]) > 0.5 and np.mean([r.near_next for r in rows]) < 0.1
 
 
+def marks_of(text):
+    """What a text's fingerprint sums: its paragraphs, and the runs of three words within them."""
+    own = Counter()
+    for p in re.split(r"\n|(?<=\.) ", text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", p)
+        own.update([p, *zip(words, words[1:], words[2:], strict=False)])
+    return own
+
+
+def test_fingerprints_equal_brute_force(docs):
+    """Equal fingerprints for equal multisets of paragraphs only; likeness near that of the multisets counted in full."""
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    ids = sorted(texts)
+    got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
+    whole = {i: marks_of(texts[i]) for i in ids}
+    assert len({got[i].fingerprint for i in ids}) == len({frozenset(Counter(fingerprints.paragraphs(texts[i])).items()) for i in ids})
+
+    def likeness(a, b):
+        ab = sum(n * b[x] for x, n in a.items())
+        return ab / (sum(n * n for n in a.values()) + sum(n * n for n in b.values()) - ab)
+
+    off = []
+    for i, after in zip(ids, [*ids[1:], ids[0]], strict=True):
+        edited = marks_of(fingerprints.edited_text(texts[i], texts[after]))
+        off += [got[i].near_edited - likeness(whole[i], edited), got[i].near_next - likeness(whole[i], whole[after])]
+    assert max(map(abs, off)) < 0.5 and np.mean(np.abs(off)) < 0.1 and abs(np.mean(off)) < 0.06
+
+
 def pages(spark):
     big = "<p>same</p>" * 30
     rows = [(3, "http://a", big), (1, "http://b\r\nX: y", big), (2, None, big), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (7, "u", ""), (8, "u", "é" * 200_000), (None, "u", big), (1, "http://b", big)]
