@@ -22,6 +22,9 @@ from rillwork.ship import ship
 #: 40 times its text, so both are low.
 BATCH_ROWS, BATCH_BYTES = 128, 1 << 20
 
+#: Batches after which a Python worker gives freed memory back; a long text's share would else stay with it for the task.
+TRIM_EVERY = 8
+
 #: A word, as the contracts define it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -164,6 +167,14 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``; before every TRIM_EVERY-th of them, memory that is free again goes back to the system."""
+    for k, batch in enumerate(batches):
+        if k % TRIM_EVERY == 0:
+            give_back()
+        yield batch
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

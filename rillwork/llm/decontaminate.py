@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import give_back, pick, small_batches
+from rillwork.llm.common import pick, small_batches, trimmed
 from rillwork.llm.words import Words, gather, split_loose, windows
 
 K1, B = 1.2, 0.75
@@ -349,8 +349,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         index = spark.sparkContext.broadcast(Bands(items, threshold, None if one else whole))  # a block of items
 
         def find(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            give_back()
-            for batch in batches:
+            for batch in trimmed(batches):
                 rows = matches_of(index.value, batch.column("text"))
                 at = pa.array([r[0] for r in rows], pa.int64())
                 columns = [batch.column("doc_id").take(at), pa.array([r[1] for r in rows], pa.int64())]

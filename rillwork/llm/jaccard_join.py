@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import give_back, may_hold, pick, scratch, settle, shuffle_partitions, small_batches
+from rillwork.llm.common import may_hold, pick, scratch, settle, shuffle_partitions, small_batches, trimmed
 from rillwork.llm.components import components
 from rillwork.llm.words import mix, split_words, windows
 
@@ -113,9 +113,8 @@ def common_counters(df: DataFrame) -> np.ndarray:
     part = COUNTERS // COUNTER_PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
+        for batch in trimmed(batches):
             words = split_words(batch.column("text"), lower=True)
             hashes, _, _ = windows(words.hashes, words.first, N)
             total += np.bincount((hashes >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
@@ -151,8 +150,7 @@ def describe(df: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        give_back()
-        for batch in batches:
+        for batch in trimmed(batches):
             hashes, begin = shingle_sets(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
             often = usual.value[(hashes >> np.uint64(44)).astype(np.int64)]
@@ -185,8 +183,7 @@ def sorted_sets(df: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, hashes) of the rows of ``df`` whose id is in ``ids`` (doc_id), and of a few more; no text is shuffled."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
-        for batch in batches:
+        for batch in trimmed(batches):
             hashes, begin = shingle_sets(batch.column("text"))
             raw = [hashes[a:b].tobytes() for a, b in zip(begin, begin[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "hashes"])

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import give_back, numbered, pick, place_of, small_batches
+from rillwork.llm.common import numbered, pick, place_of, small_batches, trimmed
 
 BITS = 13
 #: Labelled rows of one language that the model is fitted on at most, and how many languages: the bound of the sample.
@@ -98,9 +98,8 @@ def frequencies(df: DataFrame) -> tuple[int, np.ndarray]:
     """Texts of ``df`` that have a letter, and of each feature the texts that hold it; a row a feature on the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         n = np.zeros((1 << BITS) + 1, np.int64)  # the last is that of texts
-        for batch in batches:
+        for batch in trimmed(batches):
             row, feature, _ = features(batch.column("text").to_pylist())
             n[:-1] += np.bincount(feature, minlength=1 << BITS)
             n[-1] += len(np.unique(row))
@@ -223,8 +222,7 @@ def identify(
 
     @F.arrow_udf("lang string, score double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        give_back()
-        for batch in batches:
+        for batch in trimmed(batches):
             texts = batch.to_pylist()
             if model is None:
                 name, score = [UNKNOWN] * len(texts), [0.0] * len(texts)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import give_back, pick, settle, small_batches
+from rillwork.llm.common import pick, settle, small_batches, trimmed
 from rillwork.llm.token_matrix import cut
 from rillwork.llm.tokens import tokenizer
 
@@ -48,10 +48,9 @@ def token_pieces(df: DataFrame, vocabulary: str, seq_len: int = 2048, end_id: in
     small_batches(df.sparkSession)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         own, part = tokenizer(vocabulary), TaskContext.get().partitionId()
         given = np.zeros(seq_len + 1, np.int64)
-        for batch in batches:
+        for batch in trimmed(batches):
             ids, begin = own.ids(batch.column("text"), end_id)
             doc, piece, start, length = cut(np.diff(begin), seq_len)
             raw = memoryview(ids.astype("<u4", copy=False).tobytes())
