@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from rillwork.llm import token_matrix, vector_packing
+from rillwork.llm.common import TRIM_EVERY, trimmed
 from rillwork.llm.tokens import default_vocabulary, tokenizer
 
 
@@ -27,6 +28,12 @@ def test_ids_are_the_librarys(library, docs, edge_rows):
         assert ids[begin[k] : begin[k + 1]].tolist() == ids_of(library, text)
 
 
+def test_trimming_leaves_batches_as_they_are():
+    for n in (0, 1, TRIM_EVERY, 3 * TRIM_EVERY + 1):
+        batches = [pa.record_batch({"x": [k]}) for k in range(n)]
+        assert list(trimmed(iter(batches))) == batches
+
+
 ADDED = [
     "alpha <|endoftext|> beta",
     "<|endoftext|><|startoftext|>",
