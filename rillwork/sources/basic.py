@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rillwork.functions import CHUNK_BYTES, chunk_at, chunk_indices
 from rillwork.schemas import DATAGRAM
-from rillwork.ship import ship
+from rillwork.ship import shared_folder, ship
 
 DEFAULT_TEXT = "Test\n"
 KINDS = ("message", "text", "bytes")
@@ -35,12 +35,18 @@ def vector_rows(df: DataFrame, kind: Column, value: Column, *order: str) -> Data
     """Replay the rows of ``df`` in order as (seq, kind, text), numbered from 0 without holding them in one task.
 
     Rows are dealt by ranges of ``order``, which should be unique; a table of counts,
-    a row for each task, says how many come before each task's.
+    a row for each task, says how many come before each task's. The dealt rows are
+    written to the shared folder first: ranges come from a sample, and a second
+    plan over the same rows draws another, so counts would be those of other ranges.
     """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = df.select(*order, kind.alias("_kind"), value.alias("_value"))
-    dealt = own.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    dealt = dealt.withColumn("_task", F.shiftright("_m", 33))
+    in_order = own.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    in_order = in_order.select("_m", *[F.col(c).cast("string") if t == "void" else c for c, t in own.dtypes[-2:]])
+    folder = shared_folder(spark, "vector")
+    in_order.write.parquet(folder)
+    dealt = spark.read.schema(in_order.schema).parquet(folder).withColumn("_task", F.shiftright("_m", 33))
     counts = dealt.groupBy("_task").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
     before = F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))  # a row for each task
     bases = counts.select("_task", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_base"))

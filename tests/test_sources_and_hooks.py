@@ -99,3 +99,14 @@ def test_vector_is_numbered_in_order(spark):
     assert sorted((r.seq, r.text) for r in rows) == [(k, str(k)) for k in range(1000)]
     source = TestSource(TEXT_IN, [("text", "a")])
     assert source.link(TestSink(TEXT_IN, lambda n, r: True)).child().taken == TEXT_IN
+
+
+def test_vector_larger_than_the_sample_of_its_ranges_is_numbered_without_gaps(spark):
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("id"))
+    rows = sources.vector_rows(df, F.lit("text"), F.concat(F.lit("event "), F.col("id")), "id").collect()
+    assert sorted((r.seq, r.text) for r in rows) == [(k, f"event {k}") for k in range(20_000)]
+
+
+def test_vector_of_values_without_a_type(spark):
+    rows = sources.vector_rows(spark.range(3), F.lit("message"), F.lit(None), "id").collect()
+    assert sorted((r.seq, r.kind, r.text) for r in rows) == [(k, "message", None) for k in range(3)]
