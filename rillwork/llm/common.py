@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,12 +116,12 @@ def key_places(keys: np.ndarray) -> np.ndarray:
     return np.stack([keys & np.uint64(KEY_BITS - 1), (keys >> np.uint64(37)) & np.uint64(KEY_BITS - 1)]).astype(np.int64)
 
 
-def may_hold(keys: DataFrame) -> Callable[[Column], Column]:
-    """Of a column of 64-bit keys: false only where a key is not among ``keys`` (one long column).
+def key_filter(keys: DataFrame) -> Broadcast:
+    """The bits that ``among`` asks about ``keys`` (one long column).
 
     A Bloom filter of KEY_BITS bits, put together on executors, so that its size
     does not grow with the keys: with more of them it only says true more often.
-    An exact join follows wherever it decides. Only the key goes to Python.
+    An exact join follows wherever it decides.
     """
     spark = keys.sparkSession
     small_batches(spark)
@@ -149,13 +151,27 @@ def may_hold(keys: DataFrame) -> Callable[[Column], Column]:
     bits = np.zeros((KEY_PARTS, size), np.uint8)
     for r in one.mapInArrow(mark, schema).repartition(KEY_PARTS, "part").mapInArrow(unite, schema).collect():  # 8 MB at most
         bits[r["part"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    held = spark.sparkContext.broadcast(bits.reshape(-1))  # KEY_BITS bits
+    return spark.sparkContext.broadcast(bits.reshape(-1))  # KEY_BITS bits
+
+
+def among(bits: np.ndarray, key: pa.Array) -> pa.Array:
+    """Of 64-bit keys: false only where a key is null or not among those behind ``bits``."""
+    at = key_places(pc.fill_null(key, 0).to_numpy(zero_copy_only=False))
+    hit = bits[at >> 3] >> (at & 7).astype(np.uint8)
+    return pc.and_(pa.array((hit[0] & hit[1] & 1).astype(bool)), pc.is_valid(key))
+
+
+def may_hold(keys: DataFrame) -> Callable[[Column], Column]:
+    """``among`` as a function of columns, for ``keys`` (one long column). Only the key goes to Python.
+
+    Where the rows that pass go to Python anyway, ``among`` is to be asked there: a
+    task that does both at once holds two Python workers.
+    """
+    held = key_filter(keys)
 
     @F.arrow_udf("boolean")
     def test(key: pa.Array) -> pa.Array:
-        at = key_places(key.to_numpy(zero_copy_only=False))
-        hit = held.value[at >> 3] >> (at & 7).astype(np.uint8)
-        return pa.array((hit[0] & hit[1] & 1).astype(bool))
+        return among(held.value, key)
 
     return lambda key: key.isNotNull() & test(F.coalesce(key, F.lit(0)))
 
@@ -168,11 +184,12 @@ def give_back() -> None:
 
 
 def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``batches``; before every TRIM_EVERY-th of them, memory that is free again goes back to the system."""
+    """``batches``; before every TRIM_EVERY-th of them and behind the last, memory that is free again goes back to the system."""
     for k, batch in enumerate(batches):
         if k % TRIM_EVERY == 0:
             give_back()
         yield batch
+    give_back()  # the worker may have nothing to do for long
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

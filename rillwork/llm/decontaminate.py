@@ -342,7 +342,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     spark = docs.sparkSession
     small_batches(spark)
     own = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    out = spark.createDataFrame([], MATCHES)
+    out = None
     whole = counted(item_rows(benchmark))
     for items in item_blocks(benchmark, block):
         one = len(items) == whole.items  # then the block knows all
@@ -356,5 +356,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                 columns += [pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3, 4)]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in MATCHES.split(", ")])
 
-        out = out.unionByName(own.mapInArrow(find, MATCHES))
-    return out
+        found = own.mapInArrow(find, MATCHES)
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], MATCHES) if out is None else out

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import may_hold, pick, scratch, settle, shuffle_partitions, small_batches, trimmed
+from rillwork.llm.common import among, key_filter, pick, scratch, settle, shuffle_partitions, small_batches, trimmed
 from rillwork.llm.components import components
 from rillwork.llm.words import mix, split_words, windows
 
@@ -181,14 +181,18 @@ def describe(df: DataFrame) -> DataFrame:
 
 def sorted_sets(df: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, hashes) of the rows of ``df`` whose id is in ``ids`` (doc_id), and of a few more; no text is shuffled."""
+    held = key_filter(ids)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
+            batch = batch.filter(among(held.value, batch.column("doc_id")))
+            if not batch.num_rows:
+                continue
             hashes, begin = shingle_sets(batch.column("text"))
             raw = [hashes[a:b].tobytes() for a, b in zip(begin, begin[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "hashes"])
 
-    return df.filter(may_hold(ids)(F.col("doc_id"))).mapInArrow(sets, "doc_id long, hashes binary")
+    return df.mapInArrow(sets, "doc_id long, hashes binary")
 
 
 def verified(df: DataFrame, pairs: DataFrame, info: DataFrame) -> DataFrame:

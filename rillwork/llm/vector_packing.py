@@ -170,7 +170,10 @@ def assign(pieces: DataFrame, plan: list[tuple[int, int, int, int, int, int]]) -
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("_n"))
     bases = counts.select("length", "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     ranked = pieces.join(bases, ["length", "part"]).withColumn("_rank", F.col("_base") + F.col("nth"))
-    table = spark.createDataFrame(plan, PLAN)
+    # as Arrow, so that no Python worker but those of the work itself is started for it
+    names = [c.split()[0] for c in PLAN.split(", ")]
+    columns = np.array(plan, np.int64).reshape(-1, len(names)).T
+    table = spark.createDataFrame(pa.table([pa.array(c) for c in columns], names), PLAN)
     if len(plan) <= PLAN_ROWS:
         table = F.broadcast(table)
     here = (ranked["length"] == table["length"]) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi"))

@@ -102,3 +102,21 @@ def test_one_query_for_each_operator():
     for n in range(1, 11):
         assert len([q for q in queries.QUERIES if q.startswith(f"op{n}_")]) == 1
     assert "pipeline" in importlib.import_module("__spark_entry__").queries()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_a_task_holds_one_python_worker(spark, small, edges):
+    """Workers live on, so each one more that a task needs is memory for the whole run."""
+    ids = spark.range(3).toDF("doc_id")
+    own = edges.select("doc_id", "text")
+    sets = jaccard_join.sorted_sets(own, ids)
+    assert "ArrowEvalPython" not in plan_of(sets)
+    assert {0, 1, 2} <= {r.doc_id for r in sets.collect()} <= {r[0] for r in own.collect()} - {None}
+    # these need none but for the work itself: rows of the driver's go to the JVM as they are
+    benchmark = spark.read.parquet(f"{small}/benchmark.parquet")
+    assert "ExistingRDD" not in plan_of(decontaminate.find_leaks(spark.read.parquet(f"{small}/documents.parquet"), benchmark))
+    packed = vector_packing.pack_vectors(spark.read.parquet(f"{small}/documents.parquet"), default_vocabulary())
+    assert "ExistingRDD" not in plan_of(packed)
