@@ -217,7 +217,7 @@ def verified(df: DataFrame, pairs: DataFrame, info: DataFrame) -> DataFrame:
     two = info.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("bitmap").alias("b2"))
     near = pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "b1", "b2").mapInArrow(bounded, "a long, b long")
     near = settle(near, "near")
-    ids = settle(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "near-ids")
+    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id"))
     sets = settle(sorted_sets(df, ids).distinct(), "sets")
     one, two = sets.toDF("a", "ha"), sets.toDF("b", "hb")
     return near.join(one, "a").join(two, "b").select("a", "b", "ha", "hb").mapInArrow(intersected, "a long, b long")
@@ -321,8 +321,7 @@ def _components(df: DataFrame) -> DataFrame:
     stars = meets.select("lo", "doc_id").distinct().join(as_rep, "doc_id")
     stars = stars.join(member.toDF("lo", "hub"), "lo").filter("hub <> node")
     pairs = stars.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    links1 = settle(verified(df, pairs, info), "links")
-    joined = settle(components(links1), "components")
+    joined = settle(components(verified(df, pairs, info)), "components")
 
     # the hub under each shingle has met all others there
     under = meets.join(as_rep, "doc_id").join(member.toDF("lo", "hub"), "lo").filter("hub <> node")
@@ -340,11 +339,12 @@ def _components(df: DataFrame) -> DataFrame:
     many_nodes = parts.filter(F.col("rows") > TILE)
     under = many_nodes.select("token", "node", "component").unionByName(groups.select("token", "node", "component"))
     laid = lay_tiles(settle(under.join(info.withColumnRenamed("doc_id", "node"), "node"), "laid"))
-    links2 = settle(verified(df, tile_pairs(laid), info), "links")
+    others = verified(df, tile_pairs(laid), info)
     # rows of one id are one node: its sets hang together
     several = settle(member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b"), "several")
     same = member.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b")
-    joined = components(links1.union(links2).union(same)).toDF("rep", "component")
+    spokes = known.filter("node <> component").toDF("a", "b")  # they hold together what the first links do
+    joined = components(spokes.union(others).union(same)).toDF("rep", "component")
 
     known = member.join(joined, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     known = known.groupBy("doc_id").agg(F.min("component").alias("component"))

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from rillwork.llm import components, decontaminate, jaccard_join, substring_dedup
+from rillwork.llm import common, components, decontaminate, jaccard_join, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -52,6 +52,20 @@ def test_documents(docs):
     assert joined(docs) == components_by_hand([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_join_stages_what_is_read_again(docs, monkeypatch):
+    """On a local folder each file of a staged table costs its task two processes (chmod), so none is staged to be read once."""
+    staged, settle = [], common.settle
+
+    def noted(df, tag, path=None):
+        staged.append(tag)
+        return settle(df, tag, path)
+
+    for module in (common, components, jaccard_join):
+        monkeypatch.setattr(module, "settle", noted)
+    assert joined(docs) == components_by_hand([(r.doc_id, r.text) for r in docs.collect()])
+    assert len(staged) == 20 and not {"links", "near-ids"} & set(staged)
+
+
 def near_copies(rng, groups, size, length, edits):
     rows = []
     for g in range(groups):
