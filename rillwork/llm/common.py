@@ -5,16 +5,19 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import os
 import shutil
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+import pyarrow.parquet as pq
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +36,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a set of keys (8 MB, whatever the data), and in how many parts they are put together.
 KEY_BITS, KEY_PARTS = 1 << 26, 64
 
+#: Rows and bytes of one row group where Python workers write a staged table.
+GROUP_ROWS, GROUP_BYTES = 1 << 16, 8 << 20
+
 #: Spark drops the shuffle files of a query when it ends.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _OWN: dict[str, str] = {}
-#: Folders of the runs that are under way, the innermost last.
-_ROOMS: list[str] = []
+#: Folders of the runs that are under way, the innermost last, and whether Python workers write their tables.
+_ROOMS: list[tuple[str, bool]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,7 +66,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{_ROOMS[-1] if _ROOMS else shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{_ROOMS[-1][0] if _ROOMS else shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -70,35 +76,110 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def scratch(spark: SparkSession, tag: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+def scratch(spark: SparkSession, tag: str, by_workers: bool = False) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """A folder for what one run stages. It is deleted at the end; what is to stay goes through the function given.
 
-    That is one table more in the folder around it, which is the shared one for the outermost run.
+    That is one table more in the folder around it, which is the shared one for the outermost run. ``by_workers``:
+    Python workers write the tables of this run, see ``settle``.
     """
     outer = fresh_path(spark, f"{tag}-result")
-    _ROOMS.append(fresh_path(spark, tag))
+    _ROOMS.append((fresh_path(spark, tag), by_workers))
     try:
         yield lambda df: settle(df, tag, outer)
     finally:
-        remove(spark, _ROOMS.pop())
+        remove(spark, _ROOMS.pop()[0])
+
+
+class Mapped(NamedTuple):
+    """``df.mapInArrow(func, schema)`` to be staged: where a Python worker writes it, the same one runs ``func``."""
+
+    df: DataFrame
+    func: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+    schema: str
 
 
-def settle(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
+def settle(df: DataFrame | Mapped, tag: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
     It cuts the lineage at a place that survives lost executors, and makes
     every later reader see the same rows in the same files. The shuffle files
     behind it are dropped once it is written.
+
+    For each file that Spark writes to a local folder the executor's JVM starts chmod three times, and until such a
+    child has its own program it shares all the memory of the JVM. In a run that asks for it, Python workers write there.
     """
-    spark = df.sparkSession
+    own = df.df.mapInArrow(df.func, df.schema) if isinstance(df, Mapped) else df
+    spark = own.sparkSession
     path = path or fresh_path(spark, tag)
+    folder = local_folder(spark, path) if _ROOMS and _ROOMS[-1][1] else None
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        if folder:
+            os.makedirs(folder)
+            written(df, folder).write.format("noop").mode("overwrite").save()
+        else:
+            own.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(own.schema).parquet(path)
+
+
+def local_folder(spark: SparkSession, path: str) -> str | None:
+    """Where ``path`` lies if that is a local file system, which may be mounted from elsewhere."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def written(df: DataFrame | Mapped, folder: str) -> DataFrame:
+    """No rows; to run it writes ``df`` into ``folder``, a file for each task that has rows."""
+    df, func, _ = df if isinstance(df, Mapped) else (df, iter, None)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        write_part(func(batches), folder, task.partitionId(), task.taskAttemptId())
+        yield from ()
+
+    return df.mapInArrow(write, "rows long")
+
+
+def write_part(batches: Iterator[pa.RecordBatch], folder: str, part: int, attempt: int) -> None:
+    """The file of one task. Of several attempts of it, the first that comes to its end gives the file."""
+    name, own = f"{folder}/part-{part:06d}.parquet", f"{folder}/_{part:06d}.{attempt}"  # readers pass by what begins with _
+    with contextlib.ExitStack() as at_end:
+        at_end.callback(give_back)
+        out = None
+        for group in row_groups(batches):
+            if out is None:
+                at_end.callback(os.remove, own)
+                out = at_end.enter_context(pq.ParquetWriter(own, group.schema))
+            out.write_table(group)
+        if out is None:
+            return
+        out.close()
+        try:
+            os.link(own, name)
+        except FileExistsError:
+            pass
+        except OSError:  # no links there
+            shutil.copyfile(own, f"{own}.copy")
+            os.replace(f"{own}.copy", name)
+
+
+def row_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """``batches`` put together to tables of at least GROUP_ROWS rows or GROUP_BYTES, but for the last."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= GROUP_ROWS or size >= GROUP_BYTES:
+            yield pa.Table.from_batches(held)
+            held, rows, size = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def small_batches(spark: SparkSession) -> None:

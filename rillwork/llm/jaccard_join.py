@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import among, key_filter, pick, scratch, settle, shuffle_partitions, small_batches, trimmed
+from rillwork.llm.common import Mapped, among, key_filter, pick, scratch, settle, shuffle_partitions, small_batches, trimmed
 from rillwork.llm.components import components
 from rillwork.llm.words import mix, split_words, windows
 
@@ -139,7 +139,7 @@ def common_counters(df: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def describe(df: DataFrame) -> DataFrame:
+def describe(df: DataFrame) -> Mapped:
     """Of each row its set's size and digest; for the first row of a set in a task also prefix, bitmap and weight.
 
     The weight is the sum of the counters of the prefix.
@@ -176,7 +176,7 @@ def describe(df: DataFrame) -> DataFrame:
             columns.append(pa.array(out["weight"], pa.int64()))
             yield pa.RecordBatch.from_arrays(columns, list(out))
 
-    return df.mapInArrow(sets, SETS)
+    return Mapped(df, sets, SETS)
 
 
 def sorted_sets(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -215,8 +215,8 @@ def verified(df: DataFrame, pairs: DataFrame, info: DataFrame) -> DataFrame:
 
     one = info.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("bitmap").alias("b1"))
     two = info.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("bitmap").alias("b2"))
-    near = pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "b1", "b2").mapInArrow(bounded, "a long, b long")
-    near = settle(near, "near")
+    near = pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "b1", "b2")
+    near = settle(Mapped(near, bounded, "a long, b long"), "near")
     ids = near.select(F.explode(F.array("a", "b")).alias("doc_id"))
     sets = settle(sorted_sets(df, ids).distinct(), "sets")
     one, two = sets.toDF("a", "ha"), sets.toDF("b", "hb")
@@ -299,7 +299,7 @@ def lay_tiles(meets: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
-    with scratch(docs.sparkSession, "jaccard") as result:
+    with scratch(docs.sparkSession, "jaccard", by_workers=True) as result:
         return result(_components(pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))))
 
 

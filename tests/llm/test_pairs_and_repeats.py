@@ -1,8 +1,13 @@
 import collections
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from rillwork.llm import common, components, decontaminate, jaccard_join, substring_dedup
@@ -66,6 +71,55 @@ def test_join_stages_what_is_read_again(docs, monkeypatch):
     assert len(staged) == 20 and not {"links", "near-ids"} & set(staged)
 
 
+def test_join_starts_no_process_for_what_it_stages(tmp_path):
+    """A child of the JVM shares its memory until it has its own program, and Spark's writer starts chmod for each file."""
+    calls, tool = tmp_path / "calls", tmp_path / "bin" / "chmod"
+    tool.parent.mkdir()
+    tool.write_text(f'#!/bin/sh\necho "$@" >> {calls}\nPATH={os.environ["PATH"]} exec chmod "$@"\n')
+    tool.chmod(0o755)
+    code = f"""
+from pyspark.sql import SparkSession
+conf = {{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.checkpoint.dir": "file://{tmp_path}/shared"}}
+spark = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
+from rillwork.llm import jaccard_join
+rows = [(3, "a b c d e f"), (1, "a b c d e f"), (2, "x")]
+got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+assert sorted(map(tuple, got)) == [(1, 2, 1), (2, 1, 2), (3, 2, 1)], got
+spark.range(1).write.parquet("file://{tmp_path}/other")
+"""
+    env = os.environ | {"PATH": f"{tool.parent}{os.pathsep}{os.environ['PATH']}"}
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env=env, timeout=400)
+    called = calls.read_text()
+    assert f"{tmp_path}/other" in called
+    assert "/jaccard-" not in called
+
+
+def test_first_attempt_of_a_task_gives_the_file(tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "GROUP_ROWS", 3)
+    batches = [pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64())}) for a in ([1, 2], [], [3, 4], [5])]
+
+    def broken():
+        yield from batches
+        raise OSError("lost")
+
+    with pytest.raises(OSError, match="lost"):
+        common.write_part(broken(), str(tmp_path), 7, 0)
+    assert not os.listdir(tmp_path)
+    common.write_part(iter(batches), str(tmp_path), 7, 1)
+    common.write_part(iter(batches[:1]), str(tmp_path), 7, 2)
+    common.write_part(iter([]), str(tmp_path), 8, 3)
+    assert os.listdir(tmp_path) == ["part-000007.parquet"]
+    own = pq.ParquetFile(tmp_path / "part-000007.parquet")
+    assert own.read().column("a").to_pylist() == [1, 2, 3, 4, 5] and own.num_row_groups == 2
+
+    def no_links(*_):
+        raise PermissionError
+
+    monkeypatch.setattr(os, "link", no_links)
+    common.write_part(iter(batches), str(tmp_path), 9, 4)
+    assert sorted(os.listdir(tmp_path)) == ["part-000007.parquet", "part-000009.parquet"]
+
+
 def near_copies(rng, groups, size, length, edits):
     rows = []
     for g in range(groups):
