@@ -11,11 +11,12 @@ CHUNK_BYTES = 8192
 CODECS = {"H264": "libx264", "H265": "libx265", "Opus": "libopus"}
 
 
-def chunk_indices(data: Column, size: int = CHUNK_BYTES) -> Column:
-    """0 .. ceil(length / size) - 1; no index for empty data."""
+def chunk_indices(data: Column, size: int = CHUNK_BYTES, keep_empty: bool = False) -> Column:
+    """0 .. ceil(length / size) - 1; for empty and null data no index, or 0 alone with ``keep_empty``."""
     n = F.octet_length(data)
     last = F.floor((n - 1) / size).cast("int")
-    return F.when(n > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    none = F.array(F.lit(0)) if keep_empty else F.array().cast("array<int>")
+    return F.when(n > 0, F.sequence(F.lit(0), last)).otherwise(none)
 
 
 def chunk_at(data: Column, index: Column, size: int = CHUNK_BYTES) -> Column:

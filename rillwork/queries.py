@@ -104,8 +104,14 @@ def bytes2text_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bytes2text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = operators.bytes_to_text(chunks(spark, sf_dir), "doc_id", mode="whole")
-    return texts.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5"))
+    """One row for each row of the table: an id may stand in several, and texts may be empty or null."""
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.col("text").isNull().alias("_null"), "text")
+    keys = ("_row", "doc_id", "_null")
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    texts = operators.bytes_to_text(sources.chunk_column(docs, data, *keys, keep_empty=True), *keys, mode="whole")
+    text = F.when(~F.col("_null"), F.col("text"))
+    return texts.select("doc_id", F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("md5"))
 
 
 def print_file(spark: SparkSession, sf_dir: str) -> DataFrame:

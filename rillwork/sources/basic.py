@@ -54,9 +54,13 @@ def vector_rows(df: DataFrame, kind: Column, value: Column, *order: str) -> Data
     return dealt.join(F.broadcast(bases), "_task").select(seq, F.col("_kind").alias("kind"), F.col("_value").alias("text"))
 
 
-def chunk_column(df: DataFrame, data: Column, *keys: str, size: int = CHUNK_BYTES) -> DataFrame:
-    """One row for each chunk of ``data``: the keys, seq and chunk."""
-    indexed = df.select(*keys, data.alias("_data")).select("*", F.explode(chunk_indices(F.col("_data"), size)).alias("_i"))
+def chunk_column(df: DataFrame, data: Column, *keys: str, size: int = CHUNK_BYTES, keep_empty: bool = False) -> DataFrame:
+    """One row for each chunk of ``data``: the keys, seq and chunk.
+
+    Data without bytes has no chunk, or itself as the only one with ``keep_empty``.
+    """
+    indices = chunk_indices(F.col("_data"), size, keep_empty)
+    indexed = df.select(*keys, data.alias("_data")).select("*", F.explode(indices).alias("_i"))
     return indexed.select(*keys, F.col("_i").cast("long").alias("seq"), chunk_at(F.col("_data"), F.col("_i"), size).alias("chunk"))
 
 

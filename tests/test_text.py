@@ -44,6 +44,13 @@ def test_edges(spark, size):
     check(spark, EDGES, size)
 
 
+def test_chunks_of_data_without_bytes(spark):
+    df = spark.createDataFrame([(0, b""), (1, None), (2, b"abc")], "id int, data binary")
+    kept = [tuple(r) for r in sources.chunk_column(df, F.col("data"), "id", size=2, keep_empty=True).collect()]
+    assert sorted(kept, key=lambda r: r[:2]) == [(0, 0, b""), (1, 0, None), (2, 0, b"ab"), (2, 1, b"c")]
+    assert {r.id for r in sources.chunk_column(df, F.col("data"), "id", size=2).collect()} == {2}
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.one_of(st.binary(max_size=20), st.text(max_size=12).map(lambda s: s.encode("utf-8", "replace"))), min_size=1, max_size=12))
 def test_random_bytes(spark, blobs):
